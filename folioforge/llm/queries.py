@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontam, mixing
+from . import audio, chat, decontam, langid, mixing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(found)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity_report(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(mixing.mix_sources(_table(spark, sf_dir, "documents"))).drop("source")
 
@@ -34,11 +44,18 @@ def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_digest(audio.store_audio(_table(spark, sf_dir, "documents"), "text"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op4_toxicity": op4_toxicity,
+    "op5_language": op5_language,
     "op6_mixing": op6_mixing,
     "op7_chat_format": op7_chat_format,
     "op9_audio": op9_audio,
+    "op10_simhash": op10_simhash,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
