@@ -1,10 +1,13 @@
 """Toxicity scores from a character n-gram linear classifier with naive Bayes features.
 
-A text's features are the character n-grams (orders 3 to 5) that it has, hashed
-to 2^18 numbers; letters count as small, and runs of other characters as one
+A text's features are the character n-grams (orders 4 to 6) that it has, hashed
+to 2^20 numbers; letters count as small, and runs of other characters as one
 space. A feature is scaled by its naive Bayes log-count ratio between toxic and
 other labelled texts, and a logistic regression is fitted on the scaled features.
 
+Features whose counts differ between the labels by no more than chance are left
+out, by a chi-square test over the sample; only the others reach the driver.
+
 It is fitted on at most ``most`` labelled documents, those with the least hash of
 their id; all whole texts are scored.
 
@@ -24,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kind, steps, train_fold, tune
+from .common import materialize, steps, train_fold, tune
 
-ORDERS = (3, 4, 5)
-BITS = 18
-MOST = 4000
+ORDERS = (4, 5, 6)
+BITS = 20
+MOST = 12_000
 THRESHOLD = 0.3
 #: Characters that are hashed at once.
 PIECE = 1 << 18
@@ -62,18 +65,10 @@ def gram_numbers(points: np.ndarray) -> Iterator[np.ndarray]:
                 yield x >> np.uint32(32 - BITS)
 
 
-class Presence:
-    """The set of features of one text after the other."""
-
-    def __init__(self):
-        self.seen = np.zeros(1 << BITS, bool)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        for numbers in gram_numbers(characters(text or "")):
-            self.seen[numbers] = True
-        found = np.flatnonzero(self.seen)
-        self.seen[found] = False
-        return found
+def present(text: str | None, used: np.ndarray | None = None) -> np.ndarray:
+    """The features of a text, each once; only those marked in ``used`` if it is given."""
+    found = [n if used is None else n[used[n]] for n in gram_numbers(characters(text or ""))]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
 
 
 class Model(NamedTuple):
@@ -81,61 +76,86 @@ class Model(NamedTuple):
     bias: float
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ridge: float = 1.0, rounds: int = 120, alpha: float = 1.0, least: int = 3) -> Model:
+def select(positive: np.ndarray, total: np.ndarray, n_positive: int, n: int, least: int = 3, surprise: float = 6.0) -> np.ndarray:
+    """Whether each feature is in ``least`` texts and its counts differ between the labels (chi-square over ``surprise``)."""
+    share = n_positive / max(1, n)
+    expected = total * share
+    return (total >= least) & (total < n) & ((positive - expected) ** 2 > surprise * np.maximum(expected, 1e-9) * (1 - share) * (1 - total / max(1, n)))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, ridge: float = 1.0, rounds: int = 150, alpha: float = 1.0) -> Model:
     """Naive Bayes ratios, then logistic regression on the scaled features by accelerated gradient steps."""
     size, n = 1 << BITS, len(labels)
     share = float(labels.mean()) if n else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(size, np.float32), 30.0 if share else -30.0)
-    starts = np.r_[0, np.cumsum([len(r) for r in rows])]
-    features = np.concatenate(rows)
-    owner = np.repeat(np.arange(n), np.diff(starts))
-    df = np.bincount(features, minlength=size)
-    used = (df >= least) & (df < n)
-    keep = used[features]
-    features, owner = features[keep], owner[keep]
-    p = np.bincount(features, labels[owner], size) + alpha
-    q = np.bincount(features, 1 - labels[owner], size) + alpha
-    ratio = np.where(used, np.log(p / p[used].sum()) - np.log(q / q[used].sum()), 0.0)
+    features, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+    if not len(features):
+        return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
+    known, features = np.unique(features, return_inverse=True)
+    m = len(known)
+    p = np.bincount(features, labels[owner], m) + alpha
+    q = np.bincount(features, 1 - labels[owner], m) + alpha
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     value = ratio[features]
     # The largest curvature, by a few power steps, gives the step size.
-    x = np.ones(size)
-    for _ in range(4):
-        x = np.bincount(features, value * np.bincount(owner, value * x[features], n)[owner], size)
-        top = np.linalg.norm(x)
+    x = np.ones(m)
+    for _ in range(8):
+        x = np.bincount(features, value * np.bincount(owner, value * x[features], n)[owner], m)
+        top = float(np.linalg.norm(x))
         x /= top or 1.0
-    step = 1.0 / (0.25 * (top + n) + ridge)
-    w, b = np.zeros(size), float(np.log(share / (1 - share)))
+    step = 1.0 / (0.3 * (top + n) + ridge)
+    w, b = np.zeros(m), float(np.log(share / (1 - share)))
     vw, vb, t = w, b, 1.0
     for _ in range(rounds):
         z = np.bincount(owner, value * vw[features], n) + vb
         g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
-        w2, b2 = vw - step * (np.bincount(features, value * g[owner], size) + ridge * vw), vb - step * g.sum()
+        w2, b2 = vw - step * (np.bincount(features, value * g[owner], m) + ridge * vw), vb - step * g.sum()
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         vw, vb = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
-    return Model((w * ratio).astype(np.float32), b)
+    weights = np.zeros(size, np.float32)
+    weights[known] = w * ratio
+    return Model(weights, b)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, and toxic texts, that have each feature."""
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for batch in steps(batches, "text"):
+        for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+            found = present(text)
+            counts[0, found] += 1
+            counts[1, found] += y
+    found = np.flatnonzero(counts[0])
+    for at in range(0, len(found), 1 << 16):
+        part = found[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[0, part]), pa.array(counts[1, part])], ["feature", "n", "toxic"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on at most ``most`` labelled documents of the training fold."""
-    tune(docs.sparkSession)
+    spark = docs.sparkSession
+    tune(spark)
     known = labels.filter(F.col(label).isNotNull() & train_fold(F.col(doc_id))).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(most)
     # At most ``most`` rows of two numbers.
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").select("id", F.col("y").cast("int").alias("y"), "text")
+    rows = materialize(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").select(F.col("y").cast("int").alias("y"), "text"))
+    n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    counted = rows.mapInArrow(_count, "feature int, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).filter("n > 1").toArrow()
+    feature, total, toxic = (counted.column(c).to_numpy() for c in ("feature", "n", "toxic"))
+    used = np.zeros(1 << BITS, bool)
+    used[feature[select(toxic, total, n_toxic, n)]] = True
+    shared = spark.sparkContext.broadcast(used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present = Presence()
         for batch in steps(batches, "text"):
-            found = [present(t).astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([f.tobytes() for f in found], pa.binary())], ["y", "grams"])
+            found = [present(t, shared.value).astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.binary())], ["y", "grams"])
 
     table = rows.mapInArrow(run, "y int, grams binary").toArrow()
-    y = table.column("y").to_numpy().astype(float)
-    grams = [np.frombuffer(g, np.int32) for g in table.column("grams").to_pylist()]
-    order = sorted(range(len(y)), key=lambda i: (y[i], len(grams[i]), grams[i].tobytes()))
-    return fit([grams[i] for i in order], y[order])
+    found = sorted(zip(table.column("y").to_pylist(), table.column("grams").to_pylist()))
+    return fit([np.frombuffer(g, np.int32) for _, g in found], np.array([y for y, _ in found], float))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -146,9 +166,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        present = Presence()
+        used = weights != 0
         for batch in steps(batches, text):
-            z = np.array([float(weights[present(t)].sum(dtype=np.float64)) for t in batch.column(text).to_pylist()]) + bias
+            z = np.array([float(weights[present(t, used)].sum(dtype=np.float64)) for t in batch.column(text).to_pylist()]) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
