@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontam, langid, mixing, simhash, toxicity
+from . import audio, chat, decontam, langid, mixing, secrets, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(found)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.secret_report(secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs))))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.toxicity_report(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -40,6 +45,18 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(chats.unionByName(own)))
 
 
+#: Listed rules: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled by the quality of the document with their number."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    mined = urls.mine(pages.join(labels, "page_id"))
+    return urls.judge(pages, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_digest(audio.store_audio(_table(spark, sf_dir, "documents"), "text"))
 
@@ -50,10 +67,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_mixing": op6_mixing,
     "op7_chat_format": op7_chat_format,
+    "op8_url_filter": op8_url_filter,
     "op9_audio": op9_audio,
     "op10_simhash": op10_simhash,
 }
