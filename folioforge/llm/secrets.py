@@ -32,7 +32,9 @@ KINDS = ["assign", "access", "hex", "markov"]
 
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = 128
-THRESHOLD = 0.5
+THRESHOLD = 0.25
+#: Characters that runs can have; weight of a character's own share against the pair's.
+IN_RUNS, PRIOR = 67, 16
 MOST = 2000
 
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,match:string>>"
@@ -79,11 +81,12 @@ def train(samples: DataFrame, text: str = "text", label: str = "label") -> list[
     counted = pairs.select("label", code(at - 1).alias("a"), code(at).alias("b")).filter(f"a between 0 and {ALPHABET - 1} and b between 0 and {ALPHABET - 1}").groupBy("label", "a", "b").count()
     # One number for each pair of characters and label.
     counts = {(r["label"], r["a"], r["b"]): r["count"] for r in counted.collect()}
-    known = 64  # of the characters, those that runs can have
     chance = []
     for y in (0, 1):
-        rows = [sum(counts.get((y, a, b), 0) for b in range(ALPHABET)) for a in range(ALPHABET)]
-        chance.append([math.log((counts.get((y, a, b), 0) + 0.5) / (rows[a] + 0.5 * known)) for a in range(ALPHABET) for b in range(ALPHABET)])
+        before = [sum(counts.get((y, a, b), 0) for b in range(ALPHABET)) for a in range(ALPHABET)]
+        after = [sum(counts.get((y, a, b), 0) for a in range(ALPHABET)) for b in range(ALPHABET)]
+        alone = [(after[b] + 0.5) / (sum(after) + 0.5 * IN_RUNS) for b in range(ALPHABET)]
+        chance.append([math.log((counts.get((y, a, b), 0) + PRIOR * alone[b]) / (before[a] + PRIOR)) for a in range(ALPHABET) for b in range(ALPHABET)])
     return [r - o for o, r in zip(*chance)]
 
 
