@@ -109,17 +109,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial."""
-    n = len(data)
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each pair, from prefix sums of a polynomial."""
+    n = len(values)
     if not _powers or len(_powers[0]) < n + 1:
         size = max(n + 1, STEP_BYTES * 2)
         _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, p, np.uint64)]) for p in (_P, _PINV)]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    return range_hashes(data, starts, ends)
+
+
 def kgram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """The hash of every k consecutive word hashes (rows are not looked at)."""
     n = max(0, len(words) - k + 1)

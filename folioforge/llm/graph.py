@@ -17,7 +17,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """u and its component's least node, root, for every node with an edge (u, v) in either direction.
+    """u and its component's least node, root, for every node that has an edge (u, v) and isn't the least itself.
 
     Each round's edges are written to the shared folder, so lineage and memory
     stay bounded; the number of rounds grows with the logarithm of the longest path.

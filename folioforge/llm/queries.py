@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontam, langid, mixing, secrets, simhash, toxicity, urls
+from . import audio, chat, decontam, langid, mixing, secrets, simhash, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(found)
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_report(substrings.drop_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.secret_report(secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs))))
@@ -67,6 +71,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_substrings": op2_substrings,
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
@@ -97,6 +102,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
+_OP2 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT r, s, md5(array_to_string(w[s : s + 34], ' ')) AS win FROM docs, unnest(range(1, len(w) - 33)) AS t(s)),
+again AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY win) AS n FROM wins) WHERE n > 1),
+gone AS (SELECT DISTINCT r, p FROM again, unnest(range(s, s + 35)) AS t(p)),
+lists AS (SELECT r, list(p) AS ps FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(coalesce(ps, [])) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+FROM docs LEFT JOIN lists USING (r)
+"""
+
 
 def _escaped(text: str) -> str:
     out = f"replace({text}, '\\', '\\\\')"
@@ -116,4 +132,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM turns GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op7_chat_format": _OP7}
+ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op2_substrings": _OP2, "op7_chat_format": _OP7}
