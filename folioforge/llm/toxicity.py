@@ -24,14 +24,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, steps, train_fold, tune
 
 ORDERS = (4, 5, 6)
 BITS = 20
-MOST = 12_000
+MOST = 10_000
+SURPRISE = 10.0
 THRESHOLD = 0.3
 #: Characters that are hashed at once.
 PIECE = 1 << 18
@@ -76,11 +77,10 @@ class Model(NamedTuple):
     bias: float
 
 
-def select(positive: np.ndarray, total: np.ndarray, n_positive: int, n: int, least: int = 3, surprise: float = 6.0) -> np.ndarray:
-    """Whether each feature is in ``least`` texts and its counts differ between the labels (chi-square over ``surprise``)."""
-    share = n_positive / max(1, n)
-    expected = total * share
-    return (total >= least) & (total < n) & ((positive - expected) ** 2 > surprise * np.maximum(expected, 1e-9) * (1 - share) * (1 - total / max(1, n)))
+def differs(toxic: Column, total: Column, n_toxic: int, n: int, least: int = 3, surprise: float = SURPRISE) -> Column:
+    """Whether a feature is in ``least`` texts and its counts differ between the labels (chi-square over ``surprise``)."""
+    share = n_toxic / max(1, n)
+    return (total >= least) & (total < n) & ((toxic - total * share) ** 2 > surprise * share * (1 - share) * total * (1 - total / max(1, n)))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, ridge: float = 1.0, rounds: int = 150, alpha: float = 1.0) -> Model:
@@ -142,10 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, doc_id: str = "d
     # At most ``most`` rows of two numbers.
     rows = materialize(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").select(F.col("y").cast("int").alias("y"), "text"))
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    counted = rows.mapInArrow(_count, "feature int, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).filter("n > 1").toArrow()
-    feature, total, toxic = (counted.column(c).to_numpy() for c in ("feature", "n", "toxic"))
+    counted = rows.mapInArrow(_count, "feature int, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    # At most 2^BITS numbers, of which few differ.
     used = np.zeros(1 << BITS, bool)
-    used[feature[select(toxic, total, n_toxic, n)]] = True
+    used[counted.filter(differs(F.col("toxic"), F.col("n"), n_toxic, n)).select("feature").toArrow().column("feature").to_numpy()] = True
     shared = spark.sparkContext.broadcast(used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, doc_id: str = "d
     return fit([np.frombuffer(g, np.int32) for _, g in found], np.array([y for y, _ in found], float))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if score >= threshold)."""
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with two more columns, named in ``out``: the score (0 to 1), and 1 if it is at least the threshold."""
     spark = docs.sparkSession
     tune(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -170,10 +170,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
         for batch in steps(batches, text):
             z = np.array([float(weights[present(t, used)].sum(dtype=np.float64)) for t in batch.column(text).to_pylist()]) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, *out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(run, f"{fields}, `{out[0]}` double, `{out[1]}` int")
 
 
 def toxicity_report(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
