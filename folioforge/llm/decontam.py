@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, kgram_hashes, kind, materialize, merge_intervals, mix64, spans, steps, text_bytes, tune, word_hashes
+from .common import LOWER, kgram_hashes, materialize, merge_intervals, mix64, spans, steps, text_bytes, tune, word_hashes
 
 #: Bytes of words: digits, letters and all that isn't ASCII.
 WORD = np.zeros(256, bool)
@@ -137,10 +137,11 @@ def _hits(index: Index, data: np.ndarray, a: np.ndarray, b: np.ndarray, bounds:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index, again: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], index, text: str, again: bool) -> Iterator[pa.RecordBatch]:
+    """The batches with columns __n_words, __spans and __item_ids; ``again``: these are there already and are added to."""
     index = index.value
-    for batch in steps(batches, "text"):
-        data, offsets = text_bytes(batch.column("text"))
+    for batch in steps(batches, text):
+        data, offsets = text_bytes(batch.column(text))
         data = LOWER[data]
         a, b, bounds = spans(WORD[data], offsets)
         marks: list[list[dict]] = [[] for _ in range(batch.num_rows)]
@@ -151,8 +152,10 @@ def _scan(batches: Iterator[pa.RecordBatch], index, again: bool) -> Iterator[pa.
                 cut.setdefault(row, []).append((s - int(bounds[row]), s - int(bounds[row]) + size))
                 names[row] |= of
         ids = [[index.ids[i] for i in sorted(x)] for x in names]
+        kept = batch.columns
         if again:
-            for row, (old, had) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist())):
+            kept = kept[:-3]
+            for row, (old, had) in enumerate(zip(batch.column("__spans").to_pylist(), batch.column("__item_ids").to_pylist())):
                 if row in cut:
                     cut[row] += [(x["start"], x["end"]) for x in old]
                 else:
@@ -163,33 +166,45 @@ def _scan(batches: Iterator[pa.RecordBatch], index, again: bool) -> Iterator[pa.
             s, e = merge_intervals(*np.array(found).T)
             marks[row] = [{"start": i, "end": j} for i, j in zip(s.tolist(), e.tolist())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text"), pa.array(np.diff(bounds)), pa.array(marks, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(ids, pa.list_(pa.string()))],
-            ["doc_id", "text", "n_words", "spans", "item_ids"],
+            [*kept, pa.array(np.diff(bounds)), pa.array(marks, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(ids, pa.list_(pa.string()))],
+            [*batch.schema.names[: len(kept)], "__n_words", "__spans", "__item_ids"],
         )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, spans and item_ids for each document.
-
-    ``spans`` has the hit words as intervals (end exclusive), ``item_ids`` the
-    items of the windows found, sorted as strings.
-    """
+def with_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with __n_words, __spans (hit words as intervals) and __item_ids (sorted as strings)."""
     spark = docs.sparkSession
     tune(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("words"))
     total = items.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = f"doc_id {kind(out, 'doc_id')}, text string, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
+    out = docs
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__n_words long, __spans array<struct<start:int,end:int>>, __item_ids array<string>"])
     for n in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == n) if blocks > 1 else items
         index = spark.sparkContext.broadcast(Index([(r["item"], r["words"]) for r in block.collect()], length))
-        out = out.mapInArrow(lambda batches, index=index, again=n > 0: _scan(batches, index, again), schema)
+        out = out.mapInArrow(lambda batches, index=index, again=n > 0: _scan(batches, index, text, again), schema)
         if n < blocks - 1:
             out = materialize(out)
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, text: str = "text") -> DataFrame:
+    """The documents in which no window of the benchmark occurs."""
+    return with_hits(docs, benchmark, length, text).filter(F.size("__spans") == 0).select(docs.columns)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, text, n_words, spans and item_ids for each document.
+
+    ``spans`` has the hit words as intervals (end exclusive), ``item_ids`` the
+    items of the windows found, sorted as strings.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = with_hits(rows, benchmark, length, "text", item_id, item_text, block_bytes)
+    return found.select("doc_id", "text", F.col("__n_words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__item_ids").alias("item_ids"))
+
+
 def contamination_report(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated from :func:`decontaminate`."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
