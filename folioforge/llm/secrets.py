@@ -7,8 +7,8 @@ log-likelihood ratio, and a run whose mean ratio is above a threshold is a secre
 
 The models are trained from labelled samples (text, label); without samples the
 random model is uniform. ``labelled_samples`` makes such samples from a corpus:
-label 1 for values of base matches, label 0 for plain words, from at most
-``most`` documents each, those with the least hash of their text.
+label 1 for values of base matches, label 0 for plain words, from about ``most``
+different texts each, those whose hash falls below their share.
 
 Positions are code points, end exclusive. Defined cases: a null text is empty and
 has no spans; added runs that overlap a base span are left out; of spans that
@@ -63,13 +63,15 @@ def base_spans(text: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, most: int = MOST, text: str = "text") -> DataFrame:
-    """text, label: values of base matches (1) and plain words (0) of at most ``most`` documents each."""
+    """text, label: values of base matches (1) and plain words (0) of about ``most`` different texts each."""
     rows = docs.select(F.col(text).alias("text")).filter("text is not null")
-    first = F.xxhash64("text")
-    hit = rows.filter(F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).orderBy(first, "text").limit(most)
+    hits = F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")
+    n, n_hit = rows.agg(F.count("*"), F.count_if(hits)).first()
+    low = lambda of: F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, of)))
+    hit = rows.filter(low(n_hit)).filter(hits).distinct()
     found = hit.select(F.explode(base_spans(F.col("text"))).alias("s"))
     value = F.when(F.col("s.kind") == "assign", F.regexp_extract("s.match", ASSIGN, 2)).otherwise(F.col("s.match"))
-    words = rows.orderBy(first, "text").limit(most).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("text"))
+    words = rows.filter(low(n)).distinct().select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("text"))
     return found.select(value.alias("text"), F.lit(1).alias("label")).unionByName(words.distinct().select("text", F.lit(0).alias("label")))
 
 
