@@ -40,7 +40,7 @@ from .common import SPACE, kgram_hashes, materialize, merge_intervals, mix64, ra
 from .decontam import winnow
 from .fmindex import FMIndex, matching_intervals
 
-LENGTH, GRAM, CROWD, BLOCK_WORDS = 35, 12, 20_000, 500_000
+LENGTH, GRAM, CROWD, BLOCK_WORDS = 35, 12, 2_000, 100_000
 
 
 def segments(words: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
