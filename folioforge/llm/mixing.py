@@ -40,7 +40,7 @@ BLOCK = 64
 SLOTS = 4096
 MAX_SOURCES = 1_000_000
 #: Documents in a bucket of the prefix sums, about.
-BUCKET = 20_000
+BUCKET = 2_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: float) -> list[float]:

@@ -40,7 +40,7 @@ from .common import SPACE, kgram_hashes, materialize, merge_intervals, mix64, ra
 from .decontam import winnow
 from .fmindex import FMIndex, matching_intervals
 
-LENGTH, GRAM, CROWD, BLOCK_WORDS = 35, 12, 2_000, 100_000
+LENGTH, GRAM, CROWD, BLOCK_WORDS = 35, 12, 8_000, 100_000
 
 
 def segments(words: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -177,13 +177,14 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     texts = spark.table(name)
 
     cut = texts.mapInArrow(lambda b: _cut(b, length, gram), "h binary, gram long, seg long, begin int, size int, m int")
-    again = cut.groupBy("gram").agg(F.sum("m").alias("n")).filter("n > 1").select("gram")
+    # Written, so that the join below has plain shuffles on both sides, of which Spark can split hot k-grams.
+    again = materialize(cut.groupBy("gram").agg(F.sum("m").alias("n")).filter("n > 1").select("gram"))
     cut = materialize(cut.join(again, "gram", "left_semi"))
     stands = F.min(F.struct("h", "begin", "size"))
     segs = materialize(cut.groupBy("gram", "seg").agg(F.sum("m").alias("m"), stands.alias("at")))
     # Only k-grams with a segment that occurs once, next to others, need an index.
     open_ = segs.groupBy("gram").agg(F.count("*").alias("n"), F.count_if(F.col("m") == 1).alias("n_single")).filter("n > 1 and n_single > 0")
-    asked = segs.join(open_.select("gram", (F.col("n") > crowd).alias("crowded")), "gram")
+    asked = segs.join(materialize(open_.select("gram", (F.col("n") > crowd).alias("crowded"))), "gram")
     asked = asked.select("at.h", F.struct("gram", "at.begin", "at.size", (F.col("m") == 1).alias("single"), "crowded").alias("seg")).groupBy("h").agg(F.collect_list("seg").alias("segs"))
     spelled = texts.join(asked, "h").select("h", "text", "segs").mapInArrow(lambda b: _spell(b, length), "key long, h binary, begin int, single boolean, words binary")
     found = spelled.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _search(b, length, BLOCK_WORDS), "h binary, start int, end int")
