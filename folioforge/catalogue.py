@@ -53,7 +53,7 @@ _LETTERS = "letters AS (" + LETTERS.format(orders="orders") + ")"
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LETTERS, orders=_table(spark, sf_dir, "orders"))
+    return spark.sql(LETTERS, orders=sources.spread(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")))
 
 
 def _letter_query(name: str, make: Callable[[Column, Column], Column], oracle: str | None) -> None:
@@ -269,13 +269,13 @@ WITH c AS (SELECT doc_id, list_transform(str_split(text, chr(10)), lambda l: reg
 SELECT doc_id, sha256(coalesce(array_to_string(list_filter(ls, lambda l: NOT (trim(l) = '' OR regexp_matches(trim(l), '^\d+/\d+$') OR (regexp_matches(trim(l), '^[#@&~`^_\-|/\\\s:.,+*%<>=]+$') AND length(trim(l)) < 25)
   OR (regexp_matches(trim(l), '^[a-zA-Z0-9@_`~^|\\/]{{1,3}}$') AND lower(trim(l)) NOT IN ('do', 'tm', 'iv', 'iii', 'ii', 'i', 'dl', 'ul')))), chr(10)), '')) AS sha256 FROM c""")
 def artifact_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(cleaning.clean_artifacts(F.col("text")), 256).alias("sha256"))
+    return sources.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.sha2(cleaning.clean_artifacts(F.col("text")), 256).alias("sha256"))
 
 
 @query("SELECT o_orderkey, concat('Đơn vị đầu tư ', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN ' QUYẾT ĐỊNH ./.' ELSE ' chủ trương.' END) AS text FROM orders")
 def term_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Đơn vi đâu tư "), "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, " QUYET DINH ./x").otherwise(" chi trương."))
-    return cleaning.correct_terms(_table(spark, sf_dir, "orders").select("o_orderkey", said.alias("text")), "text")
+    return cleaning.correct_terms(sources.spread(_table(spark, sf_dir, "orders")).select("o_orderkey", said.alias("text")), "text")
 
 
 # --- pages ---------------------------------------------------------------------------------------------------------
@@ -431,7 +431,7 @@ def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     block = F.struct(F.lit("paragraph").alias("kind"), F.lit("verbatim").alias("style"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))
     decoded = F.struct(F.lit("text").alias("kind"), F.lit("").alias("own_title"), F.lit("").alias("first_heading"), F.array(block).alias("blocks"), F.array().alias("pages"), F.lit(False).alias("converted_via_legacy"), F.lit(False).alias("repaired"), F.lit(None).cast("string").alias("error"))
-    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".docx")).alias("filename"), F.col("doc_id").alias("ordinal"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), decoded.cast(DECODED).alias("decoded"))
+    files = sources.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".docx")).alias("filename"), F.col("doc_id").alias("ordinal"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), decoded.cast(DECODED).alias("decoded"))
     return convert.documents(convert.bodies(files), "2024-01-01")
 
 

@@ -18,6 +18,15 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return named_files(read.load(path))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores if the input has fewer files than there are cores; a large input is left as it is.
+
+    For long chains of expressions over a few files, where one task would do all the work.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def named_files(files: DataFrame) -> DataFrame:
     name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
     return files.select("path", name.alias("filename"), F.col("path").alias("ordinal"), "length", "content")
