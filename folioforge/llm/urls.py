@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 MOST = 20_000
 SUPPORT, CONFIDENCE = 0.002, 0.6
+#: Labelled urls that a rule must rest on at least: fewer can agree by chance.
+LEAST = 10
 #: Mined rules up to which they are broadcast.
 FEW = 20_000
 BAD = "label:bad"
@@ -64,14 +66,15 @@ def url_tokens(url: Column) -> Column:
     return F.when(after != "", F.array_distinct(F.concat(F.array(scheme), hosts, parts, keys))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", most: int = MOST, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
-    """Rules: tokens, token (the rarest of them), confidence, support. ``bad`` is true for urls to block. None without any rule."""
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", most: int = MOST, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame | None:
+    """Rules: tokens, token (the rarest of them), confidence, support. Their support is at least ``support`` and ``least`` urls. ``bad`` is true for urls to block. None without any rule."""
     rows = labelled.filter(F.col(url).isNotNull() & F.col(bad).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.max(F.col(bad).cast("int")).alias("bad"))
     rows = rows.orderBy(F.xxhash64("url"), "url").limit(most)
     items = rows.select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).filter(F.size("items") > 0)
-    if items.isEmpty():
+    n = items.count()
+    if n < least:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(items)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.col("antecedent").alias("tokens"), "confidence", "support")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     one = rules.withColumn("token", F.explode("tokens")).join(single, "token").groupBy("tokens", "confidence", "support").agg(F.min(F.struct("freq", "token"))["token"].alias("token"))
