@@ -8,9 +8,11 @@ that are rendered in the plan. The archive writer streams entries to one file.
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,18 +35,17 @@ def summary(docs: DataFrame) -> DataFrame:
     return found.withColumns({"is_single_mode": F.col("ready_count") == 1, "overall_status": status})
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``idx``: place in input order from 1, over one row of keys each; names of equal stems get a number."""
+def named(docs: DataFrame) -> DataFrame:
+    """``md_name``: the Markdown file's name; names of equal stems get a number."""
     w = Window.partitionBy("stem").orderBy("ordinal")
     d = docs.withColumn("stem", stem(F.col("filename")))
     d = d.withColumn("__n", F.row_number().over(w))
-    d = d.withColumn("md_name", F.concat("stem", F.when(F.col("__n") > 1, F.concat(F.lit("-"), F.col("__n").cast("string"))).otherwise(""), F.lit(".md")))
-    return d.withColumn("idx", F.row_number().over(Window.orderBy("ordinal"))).drop("__n", "stem")
+    return d.withColumn("md_name", F.concat("stem", F.when(F.col("__n") > 1, F.concat(F.lit("-"), F.col("__n").cast("string"))).otherwise(""), F.lit(".md"))).drop("__n", "stem")
 
 
 def _ordered(item: Column, sep: str = "\n", *order: str) -> Column:
     """Aggregate: strings joined in order."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*(order or ("idx",)), item.alias("s")))), lambda x: x["s"]), sep)
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*(order or ("ordinal",)), item.alias("s")))), lambda x: x["s"]), sep)
 
 
 def _date() -> Column:
@@ -107,10 +108,13 @@ có YAML metadata trung thực, bảo toàn Heading và định danh Section ID.
 
 
 def index_rows(docs: DataFrame) -> DataFrame:
-    """filename, idx, row (of the index table) and tree (of sections) for each document."""
+    """filename, ordinal, row (of the index table) and tree (of sections) for each document.
+
+    A document without an id is named by ``idx``, its place in the index, if there is such a column.
+    """
     m = "metadata"
     name = F.concat(F.lit("[`"), F.col("md_name"), F.lit("`]("), F.col("md_name"), F.lit(")"))
-    doc_id = F.coalesce(F.nullif(F.col(f"{m}.document_id"), F.lit("")), F.format_string("DOC-%02d", "idx"))
+    doc_id = F.coalesce(F.nullif(F.col(f"{m}.document_id"), F.lit("")), F.format_string("DOC-%02d", "idx") if "idx" in docs.columns else F.lit("DOC"))
     title = first_nonempty(F.col(f"{m}.title"), F.col("filename"))
     cells = [F.concat(F.lit("**"), doc_id, F.lit("**")), title, F.coalesce(f"{m}.document_type", F.lit("Other")), F.coalesce(f"{m}.version", F.lit("")), F.coalesce(f"{m}.document_status", F.lit("")), _date(), name]
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
@@ -121,19 +125,20 @@ def index_rows(docs: DataFrame) -> DataFrame:
     tree = F.when(F.size("sections") > 0, F.transform("sections", item)).otherwise(F.array(F.lit("- *(Văn bản liền mạch không chia phân đoạn)*")))
     head = F.array(F.concat(F.lit("### "), doc_id, F.lit(" — "), title), F.concat(F.lit("**File:** `"), F.col("md_name"), F.lit("`")))
     whole = F.array_join(F.concat(head, said, F.array(F.lit("\n#### Cấu trúc đề mục:")), tree, F.array(F.lit("\n"))), "\n")
-    return numbered(docs).select("filename", "idx", row.alias("row"), whole.alias("tree"))
+    return named(docs).select("filename", "ordinal", row.alias("row"), whole.alias("tree"))
 
 
 def master_index(docs: DataFrame, generated_at: str) -> DataFrame:
     """One row ``content``; none if fewer than two documents are ready."""
-    rows = index_rows(bucketed(docs).filter("bucket = 'ready'"))
+    # One text of all documents: the window is no wider than the aggregation below it.
+    rows = index_rows(bucketed(docs).filter("bucket = 'ready'").withColumn("idx", F.row_number().over(Window.orderBy("ordinal"))))
     found = rows.agg(F.count("*").alias("n"), _ordered(F.col("row")).alias("rows"), _ordered(F.col("tree")).alias("trees"))
     head = F.concat(F.lit(f'---\nknowledge_base_schema: "1.0"\ngenerated_at: "{generated_at}"\ndocument_count: '), F.col("n").cast("string"), F.lit("\n---\n\n" + INDEX_GUIDE))
     return found.filter("n >= 2").select(F.rtrim(F.regexp_replace(F.concat(head, F.col("rows"), F.lit(INDEX_TREES), F.col("trees")), r"\s+$", "")).alias("content"))
 
 
 def manifest_items(docs: DataFrame) -> DataFrame:
-    """filename, idx, bucket and item (JSON) for each document."""
+    """filename, ordinal, bucket and item (JSON) for each document."""
     m, v = "metadata", "validation"
     where = lambda folder: F.concat(F.lit(folder), F.col("md_name"))
     sections = F.transform("sections", lambda s: F.struct(s["id"].alias("id"), s["heading"].alias("heading"), s["level"].alias("level"), s["source_page_start"].alias("page_start"), s["source_page_end"].alias("page_end")))
@@ -144,17 +149,28 @@ def manifest_items(docs: DataFrame) -> DataFrame:
         F.col(f"{m}.text_retention_ratio").alias("retention_ratio"), F.col(f"{v}.status").alias("validation_status"), F.lit(True).alias("is_safe_for_ai"), sections.alias("sections"),
     )
     failed = F.struct(F.col("filename").alias("source_file"), where("technical/failed/").alias("markdown_file"), F.col(f"{m}.source_sha256").alias("sha256"), F.lit("FAIL").alias("validation_status"), F.lit(False).alias("is_safe_for_ai"), F.col(f"{v}.errors").alias("errors"))
-    return numbered(bucketed(docs).filter("bucket <> 'unvalidated'")).select("filename", "idx", "bucket", F.when(F.col("bucket") == "ready", F.to_json(ready)).otherwise(F.to_json(failed)).alias("item"))
+    return named(bucketed(docs).filter("bucket <> 'unvalidated'")).select("filename", "ordinal", "bucket", F.when(F.col("bucket") == "ready", F.to_json(ready, {"ignoreNullFields": "false"})).otherwise(F.to_json(failed, {"ignoreNullFields": "false"})).alias("item"))
 
 
 def manifest(docs: DataFrame, generated_at: str, kb_name: str = "AI-Knowledge-Base") -> DataFrame:
     """One row ``content``: the manifest as JSON."""
-    of = lambda b: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.struct("idx", "item")))), lambda x: x["item"]), ","), F.lit("]"))
+    of = lambda b: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.struct("ordinal", "item")))), lambda x: x["item"]), ","), F.lit("]"))
     found = manifest_items(docs).agg(F.count("*").alias("n"), F.count_if(F.col("bucket") == "ready").alias("ready"), of("ready").alias("documents"), of("failed").alias("failed"))
     head = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.lit(kb_name).alias("knowledge_base"), F.lit(generated_at).alias("generated_at"), F.col("n").alias("total_documents"), F.col("ready").alias("ready_for_ai_count"), (F.col("n") - F.col("ready")).alias("failed_count")))
     return found.select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"documents":'), F.col("documents"), F.lit(',"failed_documents":'), F.col("failed"), F.lit("}")).alias("content"))
 
 
+def indented(json_rows: DataFrame) -> DataFrame:
+    """One-row ``content`` as JSON with indents of two, other letters as they are."""
+
+    def run(batches):
+        for batch in batches:
+            made = [json.dumps(json.loads(x), ensure_ascii=False, indent=2) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["content"])
+
+    return json_rows.select("content").mapInArrow(run, "content string")
+
+
 def all_notes(docs_warnings: Column, validation: Column) -> Column:
     """Distinct warnings and errors of a document, in the order in which they came up."""
     empty = F.array().cast("array<string>")
@@ -194,13 +210,13 @@ def readme(total: int, ready: int, failed: int) -> str:
 
 def entries(docs: DataFrame, files: DataFrame, generated_at: str, kb_name: str = "AI-Knowledge-Base") -> DataFrame:
     """path and content (binary) of every file of a package; ``files`` has filename and content of the sources."""
-    spark, d = docs.sparkSession, numbered(bucketed(docs))
+    spark, d = docs.sparkSession, named(bucketed(docs))
     body = d.filter("bucket <> 'unvalidated'").select(F.concat(F.when(F.col("bucket") == "ready", "upload_to_ai/").otherwise("technical/failed/"), F.col("md_name")).alias("path"), F.col("markdown").cast("binary").alias("content"))
-    named = lambda df, path: df.select(F.lit(path).alias("path"), F.col("content").cast("binary").alias("content"))
+    file = lambda df, path: df.select(F.lit(path).alias("path"), F.col("content").cast("binary").alias("content"))
     s = summary(docs).first()
     text = spark.createDataFrame([(readme(s.total_documents, s.ready_count, s.failed_count),)], "content string")
     sources = files.select(F.concat(F.lit("source/"), F.col("filename")).alias("path"), "content")
-    parts = [named(master_index(docs, generated_at), "upload_to_ai/00_Master_Index.md"), body, named(manifest(docs, generated_at, kb_name), "technical/manifest.json"), named(conversion_report(docs), "technical/conversion_report.md"), sources, named(text, "README.txt")]
+    parts = [file(master_index(docs, generated_at), "upload_to_ai/00_Master_Index.md"), body, file(indented(manifest(docs, generated_at, kb_name)), "technical/manifest.json"), file(conversion_report(docs), "technical/conversion_report.md"), sources, file(text, "README.txt")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -106,7 +106,7 @@ def test_package(spark, docs):
     manifest = json.loads(z.read("technical/manifest.json"))
     assert [manifest[k] for k in ("schema_version", "knowledge_base", "total_documents", "ready_for_ai_count", "failed_count")] == ["1.0", "KB", 5, 4, 1]
     assert list(manifest["documents"][0])[:3] == ["document_id", "source_file", "markdown_file"] and manifest["documents"][0]["sections"][0]["page_start"] == 1
-    assert manifest["failed_documents"][0]["errors"]
+    assert manifest["failed_documents"][0]["errors"] and '\n  "documents": [\n    {\n      "document_id"' in z.read("technical/manifest.json").decode()
     index, report = z.read("upload_to_ai/00_Master_Index.md").decode(), z.read("technical/conversion_report.md").decode()
     assert "document_count: 4" in index and "  - [Kiến trúc](03.IMS HLD.md#sec-kien-truc) *(Trang 1)*" in index
     assert report.index("`so lieu.xlsx`") < report.index("`hong.docx`") and "❌ FAIL" in report
