@@ -223,6 +223,17 @@ def entries(docs: DataFrame, files: DataFrame, generated_at: str, kb_name: str =
     return out
 
 
+def batch_entries(docs: DataFrame) -> DataFrame:
+    """path and content of one Markdown file for each document, without package files."""
+    return named(docs).select(F.col("md_name").alias("path"), F.col("markdown").cast("binary").alias("content"))
+
+
+def write_folder(found: DataFrame, target: str) -> None:
+    """Entries as a table, one folder for each top folder of the package; of any size."""
+    top = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise("root")
+    found.withColumn("folder", top).write.partitionBy("folder").mode("overwrite").parquet(target)
+
+
 def write_zip(rows: Iterable, target) -> None:
     """Entries, one after the other, to a ZIP archive with UTF-8 names."""
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:

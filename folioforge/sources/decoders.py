@@ -197,8 +197,31 @@ def decode_files(files: DataFrame, decoders: dict[str, Callable[[bytes], dict]]
     return files.withColumn("decoded", run("filename", "content"))
 
 
+def parse_words(tsv: str) -> tuple[str, float]:
+    """Text, line by line, and confidence (0 to 1) from a table of recognised words.
+
+    Confidence is the mean over words that aren't blank and have one; 1.0 without any.
+    """
+    rows = [r.split("\t") for r in tsv.splitlines()]
+    at = {n: i for i, n in enumerate(rows[0])} if rows else {}
+    lines, confs = {}, []
+    for r in rows[1:]:
+        word = r[at["text"]] if len(r) > at["text"] else ""
+        if word.strip():
+            lines.setdefault(tuple(int(r[at[k]]) for k in ("block_num", "par_num", "line_num")), []).append(word)
+            if float(r[at["conf"]]) >= 0:
+                confs.append(float(r[at["conf"]]))
+    return "\n".join(" ".join(w) for _, w in sorted(lines.items())), round(sum(confs) / len(confs) / 100, 2) if confs else 1.0
+
+
+def tesseract_program(image: bytes, lang: str = "vie+eng", psm: int = 3, oem: int = 1, timeout: int = 60) -> tuple[str, float]:
+    """Text recognition by the command-line program, in one call for text and confidence."""
+    args = ["tesseract", "stdin", "stdout", "-l", lang, "--psm", str(psm), "--oem", str(oem), "tsv"]
+    return parse_words(subprocess.run(args, input=image, check=True, timeout=timeout, capture_output=True).stdout.decode("utf-8", "replace"))
+
+
 #: Text recognition by name: image bytes to text and confidence (0 to 1).
-ENGINES: dict[str, Callable[[bytes], tuple[str, float]]] = {}
+ENGINES: dict[str, Callable[[bytes], tuple[str, float]]] = {"tesseract": tesseract_program} if shutil.which("tesseract") else {}
 
 
 def engine(name: str, engines: dict | None = None, default: str = "tesseract") -> Callable[[bytes], tuple[str, float]] | None:

@@ -141,6 +141,19 @@ def test_pdf_slices():
     assert decoders.pdf_with(fake_pages)(b"nothing")["error"] == "damaged"
 
 
+def test_recognised_words():
+    head = "level\tblock_num\tpar_num\tline_num\tword_num\tconf\ttext"
+    assert decoders.parse_words("\n".join([head, "5\t1\t1\t2\t1\t80\tb", "5\t1\t1\t1\t1\t91\ta", "5\t1\t1\t1\t2\t-1\tc", "4\t1\t1\t1\t0\t-1\t", "5\t1\t1\t1\t3\t10\t "])) == ("a c\nb", 0.85 if round(1.71 / 2, 2) == 0.85 else 0.86)
+    assert decoders.parse_words(head) == ("", 1.0) == decoders.parse_words("")
+
+
+def test_batch_files(spark, docs, tmp_path):
+    z = zipfile.ZipFile(io.BytesIO(package.package_zip(package.batch_entries(docs[1]))))
+    assert sorted(z.namelist()) == sorted(["03.IMS HLD.md", "03.IMS HLD-2.md", "so lieu.md", "quyet dinh.md", "cu.md", "hong.md"])
+    package.write_folder(package.entries(docs[1], docs[0], "now"), f"{tmp_path}/kb")
+    assert {r.folder for r in spark.read.parquet(f"{tmp_path}/kb").select("folder").collect()} == {"root", "source", "technical", "upload_to_ai"}
+
+
 def test_progress(spark):
     d = spark.createDataFrame([("a", 1, 2), ("b", 2, 1), ("c", 3, 0)], "filename string, ordinal int, pages_total int")
     got = [(r.type, r.file_index, r.completed_files, r.remaining_files, r.page_current, r.percent) for r in ingest.ordered_events(ingest.progress_events(d)).collect()]
