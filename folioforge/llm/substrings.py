@@ -15,6 +15,8 @@ window covers is removed.
    that occur once are streamed against it: backward search gives the intervals
    whose windows occur twice at least (see ``fmindex``). Work and memory of a shard
    follow its own words; the number of shards follows the input.
+   The repeated k-grams are written before segments are joined with them: a join of
+   two plain shuffles is one that Spark can split where a k-gram is hot.
 4. A k-gram with more than ``crowd`` different segments is split: its windows become
    segments of their own, dealt by a hash of all their words.
 
