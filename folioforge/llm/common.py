@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step works on; a longer text is a step by itself.
 STEP_BYTES = 1 << 20
@@ -54,6 +55,11 @@ def kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def wider(df: DataFrame, **more: str) -> StructType:
+    """The schema of ``df`` with more columns: name and type."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in more.items())).fields])
+
+
 def train_fold(doc_id: Column) -> Column:
     """True for rows to learn from: crc32 of the id as text, modulo 4, is not 2 (a null id counts as '')."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) != 2

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, kgram_hashes, materialize, merge_intervals, mix64, spans, steps, text_bytes, tune, word_hashes
+from .common import LOWER, kgram_hashes, materialize, merge_intervals, mix64, spans, steps, text_bytes, tune, wider, word_hashes
 
 #: Bytes of words: digits, letters and all that isn't ASCII.
 WORD = np.zeros(256, bool)
@@ -179,7 +179,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, text: str
     total = items.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     out = docs
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__n_words long, __spans array<struct<start:int,end:int>>, __item_ids array<string>"])
+    schema = wider(docs, __n_words="long", __spans="array<struct<start:int,end:int>>", __item_ids="array<string>")
     for n in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == n) if blocks > 1 else items
         index = spark.sparkContext.broadcast(Index([(r["item"], r["words"]) for r in block.collect()], length))

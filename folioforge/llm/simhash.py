@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, steps, tune
+from .common import materialize, steps, tune, wider
 from .graph import components
 
 SEGMENTS, WIDTH, MOST = 4, 16, 3
@@ -63,8 +63,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", word
             found = [fingerprint(t.encode() if t else b"", words_in) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(found, np.uint64).view(np.int64))], [*batch.schema.names, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{out}` long")
+    return docs.mapInArrow(run, wider(docs, **{out: "long"}))
 
 
 def ring_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, steps, train_fold, tune
+from .common import materialize, steps, train_fold, tune, wider
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -172,8 +172,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, *out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{out[0]}` double, `{out[1]}` int")
+    return docs.mapInArrow(run, wider(docs, **{out[0]: "double", out[1]: "int"}))
 
 
 def toxicity_report(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -39,6 +39,16 @@ def test_stages_against_brute_force(spark):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, kept[-1].collect()))
 
 
+def test_other_columns_pass_through_the_filters(spark):
+    from folioforge.llm import decontam, simhash
+
+    docs = spark.sql("SELECT 1L AS doc_id, 'one two three four' AS text, named_struct('a b', 1, 'c', array('x')) AS `odd name`, timestamp'2024-01-01' AS score, 2 AS fp, array(3) AS spans")
+    bench = spark.createDataFrame([(1, "none of these")], "item_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    for out in (simhash.keep_one(docs), decontam.drop_contaminated(docs, bench), toxicity.score(docs, model, out=("__s", "__p")).select(docs.columns), secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs)), out="__x").select(docs.columns)):
+        assert out.collect() == docs.collect()
+
+
 def test_nulls_and_repeated_rows_pass(spark, tmp_path):
     data = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "some words that are here to stay", None, None, 32), (3, "some words that are here to stay", None, None, 32), (None, "another text of other words entirely", "en", "a", 36)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
