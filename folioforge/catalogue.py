@@ -128,7 +128,7 @@ def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, sha256(nfc_normalize(text)) AS sha256, length(nfc_normalize(text)) AS chars FROM documents")
 def encoding_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with foreign line ends, marks and NULs put in come back as they were."""
-    spoiled = F.concat(F.lit("﻿"), F.regexp_replace("text", "\n", "\r\n"), F.lit("\x00"))
+    spoiled = F.concat(F.lit("\ufeff"), F.regexp_replace("text", "\n", "\r\n"), F.lit("\x00"))
     clean = T.normalize_encoding(_table(spark, sf_dir, "documents").select("doc_id", spoiled.alias("text")), "text")
     return clean.select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("chars"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_lines, first_nonempty, rstrip, stem, strip
+from ..functions.text import all_lines, first_lines, first_nonempty, rstrip, stem, strip
 
 # Document types in order, with patterns over capitals.
 TYPES = [
@@ -179,7 +179,7 @@ def title(filename: Column, text: Column, own_title: Column | None = None, first
     own = strip(F.coalesce(own_title, F.lit(""))) if own_title is not None else F.lit("")
     head = strip(F.coalesce(first_heading, F.lit(""))) if first_heading is not None else F.lit("")
     capitals = strip(_extract(_has(text, "QUY ĐỊNH", "QUY CHẾ", "QUY TRÌNH", "BỘ CHỈ TIÊU", "HƯỚNG DẪN", "THÔNG TƯ"), F.left(text, F.lit(2500)), TITLE_IN_CAPITALS))
-    marked = F.filter(F.transform(F.slice(all_lines(text), 1, 20), strip), lambda x: x.startswith("# ") | x.startswith("## "))
+    marked = F.filter(F.transform(first_lines(text, 20), strip), lambda x: x.startswith("# ") | x.startswith("## "))
     marked = F.filter(F.transform(marked, lambda x: strip(F.regexp_replace(x, "^[# ]+", ""))), lambda x: (F.length(x) > 5) & (x != "QUYẾT ĐỊNH"))
     name = F.regexp_replace(stem(filename), r"(?U)^\d{4}[-_.]\d{1,2}[-_.]\d{1,2}\s*", "")
     name = F.regexp_replace(name, rf"(?iuU)^\d+[-/](?:{KINDS})[-_/][A-Za-z0-9\-_/Đđ]+\s*", "")
