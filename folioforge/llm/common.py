@@ -39,13 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Paths of the tables that this process has written to the shared folder.
+_written: list[str] = []
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A path for a table in the shared folder, noted for :func:`drop_tables`."""
+    _written.append(f"{shared_dir(spark)}/tables/{name}")
+    return _written[-1]
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables that this process has written to the shared folder, once results that read them are no longer needed."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it again.
 
     A lost executor then costs no more than the tasks it was running.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = table_path(spark, uuid.uuid4().hex)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

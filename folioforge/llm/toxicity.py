@@ -139,8 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, doc_id: str = "d
     tune(spark)
     known = labels.filter(F.col(label).isNotNull() & train_fold(F.col(doc_id))).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    # At most ``most`` rows of two numbers.
-    rows = materialize(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").select(F.col("y").cast("int").alias("y"), "text"))
+    # At most ``most`` rows of two numbers. The few texts that they pick go to a few partitions, not one for each of the corpus.
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").select(F.col("y").cast("int").alias("y"), "text")
+    rows = materialize(rows.repartition(min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     counted = rows.mapInArrow(_count, "feature int, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     # At most 2^BITS numbers, of which few differ.

@@ -49,6 +49,17 @@ def test_other_columns_pass_through_the_filters(spark):
         assert out.collect() == docs.collect()
 
 
+def test_written_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from folioforge.llm import common
+
+    kept = common.materialize(spark.range(3))
+    path = Path(common._written[-1].removeprefix("file:"))
+    assert kept.count() == 3 and path.exists()
+    assert common.drop_tables(spark) > 0 and not path.exists() and not common._written
+
+
 def test_nulls_and_repeated_rows_pass(spark, tmp_path):
     data = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "some words that are here to stay", None, None, 32), (3, "some words that are here to stay", None, None, 32), (None, "another text of other words entirely", "en", "a", 36)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
