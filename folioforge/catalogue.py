@@ -432,7 +432,7 @@ def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.struct(F.lit("paragraph").alias("kind"), F.lit("verbatim").alias("style"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))
     decoded = F.struct(F.lit("text").alias("kind"), F.lit("").alias("own_title"), F.lit("").alias("first_heading"), F.array(block).alias("blocks"), F.array().alias("pages"), F.lit(False).alias("converted_via_legacy"), F.lit(False).alias("repaired"), F.lit(None).cast("string").alias("error"))
     files = sources.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".docx")).alias("filename"), F.col("doc_id").alias("ordinal"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), decoded.cast(DECODED).alias("decoded"))
-    return convert.documents(convert.bodies(files), "2024-01-01")
+    return convert.documents(convert.bodies(files, store=False), "2024-01-01")
 
 
 @query()
@@ -441,7 +441,10 @@ def converted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("ordinal").alias("doc_id"), "document_id", F.col("validation.status").alias("status"), F.size("sections").alias("n_sections"), "word_count", "character_count", F.sha2("markdown", 256).alias("markdown_sha256"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT length(regexp_replace(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) > 20 AS ok, regexp_matches(coalesce(text, ''), '(?m)^#{1,6}\s+') AS headed FROM documents)
+SELECT count(*) AS total_documents, count_if(ok)::BIGINT AS ready_count, count_if(NOT ok)::BIGINT AS failed_count, 0::BIGINT AS unvalidated_count, count_if(ok AND NOT headed)::BIGINT AS warning_count, count_if(ok) = 1 AS is_single_mode,
+  CASE WHEN count_if(NOT ok) > 0 THEN 'FAIL' WHEN count_if(ok AND NOT headed) > 0 THEN 'WARNING' ELSE 'PASS' END AS overall_status FROM d""")
 def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package.summary(converted(spark, sf_dir))
 

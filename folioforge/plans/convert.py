@@ -14,6 +14,7 @@ from ..operators.quality import with_gate
 from ..operators.structure import anchored, format_structure, sections
 from ..operators.tables import drop_empty_rows, markdown_table
 from ..sources import decoders as D
+from ..sources.files import stored
 
 # Capitals that open a numbered heading.
 CAPITALS = "A-ZĐÀÁẢÃẠĂẰẮẲẴẶÂẦẤẨẪẬÈÉẺẼẸÊỀẾỂỄỆÌÍỈĨỊÒÓỎÕỌÔỒỐỔỖỘƠỜỚỞỠỢÙÚỦŨỤƯỪỨỬỮỰỲÝỶỸỴ"
@@ -80,9 +81,13 @@ def recognise(pages: DataFrame, engine_name: str, engines: dict | None = None) -
     return text.unionByName(read_)
 
 
-def bodies(decoded: DataFrame, ocr_engine: str = "tesseract", engines: dict | None = None) -> DataFrame:
-    """filename, ordinal, sha256, body, raw, pages and warnings of decoded files."""
-    decoded = decoded.withColumn("source_sha256", F.sha2("content", 256)).drop("content")
+def bodies(decoded: DataFrame, ocr_engine: str = "tesseract", engines: dict | None = None, store: bool = True) -> DataFrame:
+    """filename, ordinal, sha256, body, raw, pages and warnings of decoded files.
+
+    ``store``: work out recognised pages once instead of once for every branch that reads them.
+    """
+    if "source_sha256" not in decoded.columns:
+        decoded = decoded.withColumn("source_sha256", F.sha2("content", 256)).drop("content")
     d = F.col("decoded")
     keep = ["filename", "ordinal", "source_sha256", "decoded"]
     md, raw = blocks_markdown(F.col("filename"), d["kind"], d["blocks"])
@@ -90,7 +95,9 @@ def bodies(decoded: DataFrame, ocr_engine: str = "tesseract", engines: dict | No
     flow = decoded.filter(d["kind"] != "pdf").select(*keep, md.alias("body"), raw.alias("raw"), F.lit(1).alias("pages_total"), F.array().cast("array<int>").alias("pages_ocr"), F.lit(False).alias("is_pure_ocr"), F.lit(False).alias("paginated"), none.alias("page_warnings"))
     paged = decoded.filter(d["kind"] == "pdf")
     pages = paged.select(F.col("ordinal").alias("doc_id"), F.inline(d["pages"]))
+    # Recognition is the dearest step; two branches read its pages.
     read = recognise(pages, ocr_engine, engines)
+    read = stored(read) if store else read
     merged = merge_pages(read.withColumn("is_ocr", F.col("needs_ocr")))
     noted = read.filter("warning is not null").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "warning"))), lambda x: x["warning"]).alias("page_warnings"))
     whole = paged.select(*keep).join(merged, F.col("ordinal") == merged["doc_id"]).drop("doc_id").join(noted, F.col("ordinal") == noted["doc_id"], "left").drop("doc_id")
@@ -125,4 +132,6 @@ def documents(bodies_: DataFrame, conversion_date: str, **meta_options) -> DataF
 def convert(files: DataFrame, conversion_date: str, decoders: dict | None = None, engines: dict | None = None, ocr_engine: str = "tesseract", legacy=D.legacy_with_office, **meta_options) -> DataFrame:
     """Documents from files (filename, ordinal, content)."""
     decoded = D.decode_files(files.select("filename", "ordinal", "content"), decoders, legacy)
+    # Branches by kind read what is decoded once.
+    decoded = stored(decoded.withColumn("source_sha256", F.sha2("content", 256)).drop("content"))
     return documents(bodies(decoded, ocr_engine, engines), conversion_date, **meta_options)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if len(df.inputFiles()) < n else df
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` worked out once, for rows that are dear to make and that several branches read.
+
+    They are written to the folder that all executors share (spark.checkpoint.dir)
+    and read again, so a lost executor costs nothing; without such a folder they
+    are persisted in memory and on disk.
+    """
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{where.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def named_files(files: DataFrame) -> DataFrame:
     name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
     return files.select("path", name.alias("filename"), F.col("path").alias("ordinal"), "length", "content")

@@ -136,6 +136,25 @@ def test_scan_gate_and_registry(spark, tmp_path):
     assert decoders.engine(" Paddle ", {"paddleocr": 1, "tesseract": 2}) == 1 and decoders.engine("other", {"tesseract": 2}) == 2
 
 
+def test_dear_steps_run_once(spark, tmp_path):
+    """Every file is decoded and every page recognised once, however many branches read them."""
+
+    def slow_pages(content):
+        with open(f"{tmp_path}/decoded", "a") as f:
+            f.write("x")
+        return [{"page_number": 1, "text_layer": "", "max_image_area_ratio": 0.0, "image_bbox_error": False, "image": b"i"}]
+
+    def slow_engine(image):
+        with open(f"{tmp_path}/read", "a") as f:
+            f.write("x")
+        return "QUYẾT ĐỊNH số một", 0.9
+
+    made = spark.createDataFrame([("a.pdf", 1, b"%PDF-"), ("b.pdf", 2, b"%PDF-")], "filename string, ordinal long, content binary")
+    out = convert.convert(made, "2024-01-01", {".pdf": decoders.pdf_with(slow_pages)}, {"tesseract": slow_engine}).collect()
+    assert len(out) == 2 and all("QUYẾT ĐỊNH số một" in r.markdown for r in out)
+    assert (tmp_path / "decoded").read_text() == "xx" == (tmp_path / "read").read_text()
+
+
 def test_pdf_slices():
     assert list(decoders.pdf_slices(b"%PDF-1 %PDF-2 %PDF-3")) == [b"%PDF-1 %PDF-2 %PDF-3", b"%PDF-3", b"%PDF-2 %PDF-3"]
     assert decoders.pdf_with(fake_pages)(b"nothing")["error"] == "damaged"
