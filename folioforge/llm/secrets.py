@@ -5,10 +5,14 @@ or more token characters are scored: two first-order Markov models over
 characters, one of random strings and one of ordinary identifiers, give a
 log-likelihood ratio, and a run whose mean ratio is above a threshold is a secret.
 
-The models are trained from labelled samples (text, label); without samples the
-random model is uniform. ``labelled_samples`` makes such samples from a corpus:
-label 1 for values of base matches, label 0 for plain words, from about ``most``
-different texts each, those whose hash falls below their share.
+The models are trained from labelled samples (text, label); without samples of
+label 1 the random model is uniform, and a pair of characters that no sample has
+says nothing. ``labelled_samples`` makes such samples: label 1 for strings drawn
+evenly from each of ALPHABETS and values of base matches, label 0 for words,
+identifiers and paths made of them and of ``rules/words.txt``, dates, counters
+and separator rules. Values and words come from about ``most`` different texts
+each, those whose hash falls below their share; words within runs and base
+matches are left out.
 
 Positions are code points, end exclusive. Defined cases: a null text is empty and
 has no spans; added runs that overlap a base span are left out; of spans that
@@ -20,8 +24,9 @@ from __future__ import annotations
 
 import json
 import math
+from importlib import resources
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The shapes of known credentials.
@@ -35,7 +40,16 @@ ALPHABET = 128
 THRESHOLD = 0.25
 #: Characters that runs can have; weight of a character's own share against the pair's.
 IN_RUNS, PRIOR = 67, 16
+#: What a character's own share and the even share add to a pair's chance: no pair weighs more the larger the samples are.
+OWN, EVEN = 0.1, 0.02
 MOST = 2000
+#: What random strings are drawn from: hexadecimal, base32, letters, letters and digits, base64 and its form for urls.
+_CAPITALS, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_SMALL = _CAPITALS.lower()
+ALPHABETS = [
+    "0123456789abcdef", "0123456789ABCDEF", _SMALL + "234567", _CAPITALS + "234567", _SMALL, _CAPITALS, _SMALL + _CAPITALS,
+    _SMALL + _DIGITS, _CAPITALS + _DIGITS, _SMALL + _CAPITALS + _DIGITS, _SMALL + _CAPITALS + _DIGITS + "+/", _SMALL + _CAPITALS + _DIGITS + "-_",
+]
 
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,match:string>>"
 
@@ -62,8 +76,67 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
 
 
+def _pick(options: list, *by: Column | str) -> Column:
+    """One of the options for each row, by a hash."""
+    cols = [x if isinstance(x, Column) else F.lit(x) for x in options]
+    return F.element_at(F.array(*cols), F.pmod(F.xxhash64(*by), F.lit(len(cols))).cast("int") + 1)
+
+
+def _below(n: int, *by: Column | str) -> Column:
+    """A number from 0 to n - 1 for each row, by a hash."""
+    return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+
+
+def random_strings(spark: SparkSession, n: int) -> DataFrame:
+    """text: n strings of 20 to 64 characters drawn evenly from each of ALPHABETS."""
+    rows = spark.range(n * len(ALPHABETS), numPartitions=4).withColumn("of", F.element_at(F.array(*map(F.lit, ALPHABETS)), F.pmod("id", F.lit(len(ALPHABETS))).cast("int") + 1))
+    one = lambda i: F.substring("of", F.pmod(F.xxhash64("id", i), F.length("of")).cast("int") + 1, F.lit(1))
+    return rows.select(F.array_join(F.transform(F.sequence(F.lit(1), 20 + _below(45, "id", F.lit("size"))), one), "").alias("text"))
+
+
+def dates_and_rules(spark: SparkSession, n: int) -> DataFrame:
+    """text: n strings of dates, times, counters or separator rules."""
+    h = lambda k, of: _below(of, "id", F.lit(k))
+    ymd = lambda k: (1900 + h(f"{k}y", 200), 1 + h(f"{k}m", 12), 1 + h(f"{k}d", 28))
+    hms = (h("h", 24), h("min", 60), h("s", 60))
+    pair = F.concat(_pick(list("-=_+/"), "id", F.lit("c")), _pick(list("-=_+/"), "id", F.lit("d")))
+    made = [
+        F.array_join(F.transform(F.sequence(F.lit(0), 1 + h("n", 4)), lambda i: F.format_string("%04d-%02d-%02d", 1900 + _below(200, "id", i), 1 + _below(12, "id", i, F.lit("m")), 1 + _below(28, "id", i, F.lit("d")))), ""),
+        F.concat_ws("_", F.format_string("%04d-%02d-%02d", *ymd("a")), F.format_string("%02d-%02d-%02d", *hms)),
+        F.concat_ws("-", F.format_string("%04d%02d%02d", *ymd("a")), F.format_string("%02d%02d%02d", *hms), F.format_string("%06d", h("no", 1_000_000))),
+        F.concat_ws("/", F.format_string("%04d/%02d/%02d", *ymd("a")), F.format_string("%04d/%02d/%02d", *ymd("b"))),
+        F.concat_ws("-", F.format_string("%d-%05d", h("a", 100), h("b", 100_000)), F.format_string("%08d", h("no", 1_000_000))),
+        F.expr("repeat(p, 24)"),
+        F.expr("repeat(substring(p, 1, 1), 48)"),
+        F.expr("repeat(concat('+', repeat(substring(p, 1, 1), 6)), 5)"),
+    ]
+    return spark.range(n, numPartitions=4).withColumn("p", pair).select(_pick(made, "id", F.lit("kind")).alias("text"))
+
+
+def identifiers(words: DataFrame) -> DataFrame:
+    """text: names and paths, each of up to three words that follow each other in the array ``w``."""
+    parts = words.filter("size(w) > 0").select(F.explode(F.expr("transform(sequence(0, (size(w) - 1) div 3), i -> slice(w, i * 3 + 1, 3))")).alias("w"))
+    small, large, title = (F.transform("w", f) for f in (F.lower, F.upper, F.initcap))
+    no = _below(1000, "w", F.lit("no")).cast("string")
+    head = F.lower(F.get("w", F.lit(0)))
+    camel = F.concat(head, F.array_join(F.slice(title, 2, 2), ""))
+    made = [
+        F.array_join(small, ""), F.array_join(large, ""), F.array_join(title, ""), camel, F.array_join(small, "_"), F.array_join(large, "_"), F.array_join(small, "-"), F.array_join(title, "-"),
+        F.concat(F.lit("/"), F.array_join(small, "/")), F.concat(F.array_join(title, "/"), F.lit("/")), F.concat(F.array_join(small, "_"), no), F.concat(head, no, F.lit("/"), F.array_join(small, "-"), F.lit("_"), no), F.concat(F.array_join(small, "="), F.lit("="), no), F.array_join(small, "+"),
+    ]
+    return parts.select(_pick(made, "w", F.lit("kind")).alias("text"))
+
+
+def common_words(spark: SparkSession, n: int) -> DataFrame:
+    """w: n arrays of three words of ``rules/words.txt``."""
+    known = (resources.files("folioforge.rules") / "words.txt").read_text(encoding="utf-8").split()
+    word = lambda k: F.element_at(F.split(F.lit(" ".join(known)), " "), _below(len(known), "id", F.lit(k)) + 1)
+    return spark.range(n, numPartitions=4).select(F.array(*map(word, range(3))).alias("w"))
+
+
 def labelled_samples(docs: DataFrame, most: int = MOST, text: str = "text") -> DataFrame:
-    """text, label: values of base matches (1) and plain words (0) of about ``most`` different texts each."""
+    """text, label: random strings and values of base matches (1); words, identifiers, dates and rules (0). Values and words are from about ``most`` different texts each."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text")).filter("text is not null")
     hits = F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")
     n, n_hit = rows.agg(F.count("*"), F.count_if(hits)).first()
@@ -71,8 +144,11 @@ def labelled_samples(docs: DataFrame, most: int = MOST, text: str = "text") -> D
     hit = rows.filter(low(n_hit)).filter(hits).distinct()
     found = hit.select(F.explode(base_spans(F.col("text"))).alias("s"))
     value = F.when(F.col("s.kind") == "assign", F.regexp_extract("s.match", ASSIGN, 2)).otherwise(F.col("s.match"))
-    words = rows.filter(low(n)).distinct().select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("text"))
-    return found.select(value.alias("text"), F.lit(1).alias("label")).unionByName(words.distinct().select("text", F.lit(0).alias("label")))
+    plain = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}|{RUN}", " ")
+    words = rows.filter(low(n)).distinct().select(F.regexp_extract_all(plain, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
+    ordinary = words.select(F.explode("w").alias("text")).unionByName(identifiers(words)).distinct().unionByName(identifiers(common_words(spark, 5 * most))).unionByName(dates_and_rules(spark, most))
+    odd = found.select(value.alias("text")).unionByName(random_strings(spark, max(1, most // 10)))
+    return odd.withColumn("label", F.lit(1)).unionByName(ordinary.withColumn("label", F.lit(0)))
 
 
 def train(samples: DataFrame, text: str = "text", label: str = "label") -> list[float]:
@@ -88,8 +164,11 @@ def train(samples: DataFrame, text: str = "text", label: str = "label") -> list[
         before = [sum(counts.get((y, a, b), 0) for b in range(ALPHABET)) for a in range(ALPHABET)]
         after = [sum(counts.get((y, a, b), 0) for a in range(ALPHABET)) for b in range(ALPHABET)]
         alone = [(after[b] + 0.5) / (sum(after) + 0.5 * IN_RUNS) for b in range(ALPHABET)]
-        chance.append([math.log((counts.get((y, a, b), 0) + PRIOR * alone[b]) / (before[a] + PRIOR)) for a in range(ALPHABET) for b in range(ALPHABET)])
-    return [r - o for o, r in zip(*chance)]
+        pair = lambda a, b: (counts.get((y, a, b), 0) + PRIOR * alone[b]) / (before[a] + PRIOR)  # noqa: B023, E731
+        chance.append([math.log((1 - OWN - EVEN) * pair(a, b) + OWN * alone[b] + EVEN / IN_RUNS) for a in range(ALPHABET) for b in range(ALPHABET)])
+    # A pair that neither sample has says nothing, however large the samples are.
+    seen = [(0, a, b) in counts or (1, a, b) in counts for a in range(ALPHABET) for b in range(ALPHABET)]
+    return [r - o if known else 0.0 for o, r, known in zip(*chance, seen)]
 
 
 def mean_ratio(run: Column, model: list[float]) -> Column:
