@@ -3,7 +3,7 @@
 A listed rule (host, path) fits its host and all subdomains of it, if the url's
 path starts with the rule's; the longest rule that fits decides. Where none fits,
 mined rules decide: FP-growth finds combinations of url tokens that go with bad
-labels; rules above a confidence and a support stay; each is indexed under its
+labels; rules above a confidence that rest on ``LEAST`` urls stay; each is indexed under its
 rarest token, and a url is blocked if it has all tokens of a rule.
 
 FP-growth is fitted on at most ``most`` labelled urls, those with the least hash.
@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST = 20_000
-SUPPORT, CONFIDENCE = 0.002, 0.6
-#: Labelled urls that a rule must rest on at least: fewer can agree by chance.
+CONFIDENCE = 0.6
+#: Labelled urls that a rule must rest on at least: fewer can agree by chance. No share of the sample is asked for besides.
 LEAST = 10
 #: Mined rules up to which they are broadcast.
 FEW = 20_000
@@ -66,7 +66,7 @@ def url_tokens(url: Column) -> Column:
     return F.when(after != "", F.array_distinct(F.concat(F.array(scheme), hosts, parts, keys))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", most: int = MOST, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame | None:
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", most: int = MOST, support: float = 0, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame | None:
     """Rules: tokens, token (the rarest of them), confidence, support. Their support is at least ``support`` and ``least`` urls. ``bad`` is true for urls to block. None without any rule."""
     rows = labelled.filter(F.col(url).isNotNull() & F.col(bad).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.max(F.col(bad).cast("int")).alias("bad"))
     rows = rows.orderBy(F.xxhash64("url"), "url").limit(most)
