@@ -6,7 +6,8 @@ For every shard the slots are dealt to sources by a multinomial draw from the
 slots that the sources still have to fill, so that totals come out exactly. The
 j-th slot of a source is mapped through a pseudorandom permutation of the
 source's block indices (a new one for every pass over the source), and slots are
-joined with blocks by index.
+joined with blocks by index. The mix is a table of the slots with the words in
+them; what each document gives is counted in that table.
 
 Targets: sources in code point order, null last, have weights that repeat; they
 share ``share`` times all words by weight; a target stops at ``cap`` times its
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kind, materialize, mix64, tune
+from .common import kind, materialize, mix64, steps, tune
 
 BLOCK = 64
 SLOTS = 4096
@@ -123,24 +124,41 @@ def _deal(batches: Iterator[pa.RecordBatch], sizes: np.ndarray, slots: int, seed
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.arange(n)), pa.array(source[order].astype(np.int32)), pa.array(block[order])], ["shard", "slot", "src", "block"])
 
 
+def _cut(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """The words of documents in each block: src, block, start (of the document), from_word, n and words."""
+    names = ["src", "block", "start", "from_word", "n", "words"]
+    for batch in batches:
+        for part in steps([batch], "text"):
+            out: list[list] = [[] for _ in names]
+            for src, start, text in zip(part.column("src").to_pylist(), part.column("start").to_pylist(), part.column("text").to_pylist()):
+                words, at = text.encode().split(), 0
+                while at < len(words):
+                    n = min(len(words) - at, block - (start + at) % block)
+                    for column, value in zip(out, (src, (start + at) // block, start, at, n, b" ".join(words[at : at + n]).decode())):
+                        column.append(value)
+                    at += n
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+
+
 class Mix(NamedTuple):
-    """docs: doc_id, size, source, src, start (in its source), source_size, target. pieces: src, block, start, doc_id, from_word, n. slots: shard, slot, src, block."""
+    """docs: doc_id, size, source, src, start (in its source), source_size, target. slots: see :meth:`mixed`."""
 
     docs: DataFrame
-    pieces: DataFrame
     slots: DataFrame
 
     def mixed(self) -> DataFrame:
-        """The mix: for every slot of every shard, the words of documents in it."""
-        return self.slots.join(self.pieces, ["src", "block"]).select("shard", "slot", "doc_id", "src", "start", "from_word", "n")
+        """The mix: shard, slot, src, block, n (words), pieces (start of the document, from_word, n; in order) and text, for every slot of every shard."""
+        return self.slots
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), cap: float = 2, block: int = BLOCK, slots: int = SLOTS, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Mix:
-    """Plan the mix of all documents; see the module's text."""
+    """Write the mix of all documents; see the module's text."""
     spark = docs.sparkSession
     tune(spark)
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h")))
+    full = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), F.col(text).alias("text"))
+    sized = materialize(full.drop("text"))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
     if (n_sources := per_source.count()) > MAX_SOURCES:
         raise ValueError(f"{n_sources} sources are more than {MAX_SOURCES}")
@@ -152,16 +170,17 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: Sequence[float] =
 
     buckets = max(1, math.ceil(sum(r["n"] for r in found) / BUCKET))
     small = F.broadcast(dim) if len(found) <= 10_000 else dim
-    named = sized.join(small, sized["source"].eqNullSafe(dim["source"])).drop(dim["source"]).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    base = named.groupBy("src", "bucket").agg(F.sum("size").alias("in_bucket"))
-    base = base.select("src", "bucket", (F.sum("in_bucket").over(Window.partitionBy("src").orderBy("bucket")) - F.col("in_bucket")).alias("base"))
+    named = lambda rows: rows.join(small, rows["source"].eqNullSafe(dim["source"])).drop(dim["source"]).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    base = named(sized).groupBy("src", "bucket").agg(F.sum("size").alias("in_bucket"))
+    base = materialize(base.select("src", "bucket", (F.sum("in_bucket").over(Window.partitionBy("src").orderBy("bucket")) - F.col("in_bucket")).alias("base")))
     inner = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = materialize(named.withColumn("upto", F.sum("size").over(inner)).join(base, ["src", "bucket"]).select("doc_id", "source", "size", "src", "source_size", "target", (F.col("base") + F.col("upto") - F.col("size")).alias("start")))
+    start = (F.col("base") + F.col("upto") - F.col("size")).alias("start")
+    place = lambda rows: named(rows).withColumn("upto", F.sum("size").over(inner)).join(base, ["src", "bucket"])
+    placed = materialize(place(sized).select("doc_id", "source", "size", "src", "source_size", "target", start))
 
-    end = F.col("start") + F.col("size")
-    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
-    first, last = F.greatest("start", F.col("block") * block), F.least(end, (F.col("block") + 1) * block)
-    pieces = pieces.select("src", "block", "start", "doc_id", (first - F.col("start")).alias("from_word"), (last - first).alias("n"))
+    pieces = place(full.filter("size > 0")).select("src", start, "text").mapInArrow(lambda b: _cut(b, block), "src int, block long, start long, from_word long, n long, words string")
+    packed = pieces.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("start", "from_word", "n", "words"))).alias("p"))
+    blocks = packed.select("src", "block", F.expr("transform(p, x -> struct(x.start AS start, x.from_word AS from_word, x.n AS n))").alias("pieces"), F.array_join("p.words", " ").alias("text"))
 
     shards = max(1, -(-int(counts.sum()) // slots))
     groups = min(shards, max(1, min(1024, 2_000_000 // max(1, len(found)))))
@@ -174,13 +193,14 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: Sequence[float] =
     sizes = np.array([-(-t // block) for t in totals], np.int64)
     groups_df = spark.createDataFrame(plan, "grp int, first_shard long, n_shards long, counts array<long>, bases array<long>").repartition(max(1, min(groups, 200)), "grp")
     dealt = groups_df.mapInArrow(lambda b: _deal(b, sizes, slots, seed), "shard long, slot long, src int, block long")
-    return Mix(placed, pieces, dealt)
+    # The planner takes the slots for as small as the groups that they are dealt from, and would broadcast them.
+    mixed = dealt.hint("merge").join(blocks, ["src", "block"]).withColumn("n", F.aggregate("pieces.n", F.lit(0).cast("long"), lambda x, y: x + y))
+    return Mix(placed, materialize(mixed.select("shard", "slot", "src", "block", "n", "pieces", "text")))
 
 
 def mix_report(mix: Mix) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words in the mix, repeats counted) for each document."""
-    times = mix.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
-    taken = mix.pieces.join(times, ["src", "block"]).groupBy("src", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    taken = mix.mixed().select("src", F.explode("pieces").alias("p")).groupBy("src", "p.start").agg(F.sum("p.n").alias("taken"))
     d = mix.docs
     # Of the documents that start at one word only the one that has words takes any.
     return d.join(taken, ["src", "start"], "left").select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
