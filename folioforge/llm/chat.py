@@ -13,8 +13,8 @@ escape can be undone from left to right. A line feed in a role becomes ``\\n``.
 Defined cases: a null text or role is empty; turns are ordered by turn (null
 first), then role, then text; equal rows are all kept; a null conversation id is
 a conversation of its own; an empty table gives no rows; other columns are
-ignored. A conversation of any length is written in parts of whole turns, so a
-task never holds more than one part.
+ignored. A conversation of any length, and a turn with any number of rows, is
+written in parts of whole rows, so a task never holds more than one part.
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ from .common import kind, text_bytes, tune
 # The strings that steer chat templates.
 CONTROL = ["<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>"]
 OPEN, CLOSE, LOSS_ROLE = "<|im_start|>", "<|im_end|>\n", "assistant"
+#: The order of the parts of conversations; characters of a text by which equal turns are dealt to tasks.
+PARTS = ["conv_id", "turn", "role", "head", "part"]
+HEAD = 64
 
 
 def escape(texts: pa.Array, control: list[str]) -> pa.Array:
@@ -69,7 +72,7 @@ def _format(batches: Iterator[pa.RecordBatch], control: list[str]) -> Iterator[p
         if not n:
             continue
         ids = batch.column(0)
-        role = pc.fill_null(batch.column(2), "")
+        role = batch.column(2)
         head = pc.binary_join_element_wise(OPEN, pc.replace_substring(escape(role, control), "\n", "\\n"), "\n", "")
         body = escape(batch.column(3), control)
         data, where = assemble([head, body, pa.array([CLOSE] * n)])
@@ -87,25 +90,27 @@ def _format(batches: Iterator[pa.RecordBatch], control: list[str]) -> Iterator[p
         text = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(starts), pa.py_buffer(data)).cast(pa.string())
         spans = pa.ListArray.from_arrays(pa.array(np.r_[seen[first], seen[-1]], pa.int32()), marks)
         yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(first)), batch.column(1).take(pa.array(first)), pa.array(np.arange(part, part + len(first))), text, pa.array(last - first, pa.int64()), spans],
-            ["conv_id", "turn", "part", "formatted", "n_turns", "loss"],
+            [*(batch.column(c).take(pa.array(first)) for c in ("conv_id", "turn", "role", "head")), pa.array(np.arange(part, part + len(first))), text, pa.array(last - first, pa.int64()), spans],
+            ["conv_id", "turn", "role", "head", "part", "formatted", "n_turns", "loss"],
         )
         part += len(first)
 
 
 def format_chats(chats: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", control: list[str] | None = None) -> DataFrame:
-    """One row for each part of a conversation: conv_id, turn (of its first row), part, formatted, n_turns, loss.
+    """One row for each part of a conversation: conv_id, turn, role and head (of the text) of its first row, part, formatted, n_turns, loss.
 
     ``loss`` lists spans of ``formatted`` (code points) under the loss mask. The
-    parts of one conversation are in order by (turn, part). Rows are dealt by
-    range, so that one huge conversation is spread over tasks.
+    parts of one conversation are in order by PARTS. Rows are dealt by range, so
+    that one huge conversation is spread over tasks; rows that are equal in all
+    columns but ``part`` are in one task, which numbers its parts in order.
     """
     tune(chats.sparkSession)
     control = sorted({OPEN, CLOSE[:-1], *(CONTROL if control is None else control)}, key=lambda c: (-len(c), c))
-    rows = chats.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    said = F.coalesce(F.col(text), F.lit(""))
+    rows = chats.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), said.alias("text"), F.substring(said, 1, HEAD).alias("head"))
     n = int(chats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "conv_id", "turn", "role").sortWithinPartitions("conv_id", "turn", "role", "text")
-    schema = f"conv_id {kind(rows, 'conv_id')}, turn {kind(rows, 'turn')}, part long, formatted string, n_turns long, loss array<struct<start:long,end:long>>"
+    rows = rows.repartitionByRange(n, "conv_id", "turn", "role", "head").sortWithinPartitions("conv_id", "turn", "role", "text")
+    schema = f"conv_id {kind(rows, 'conv_id')}, turn {kind(rows, 'turn')}, role string, head string, part long, formatted string, n_turns long, loss array<struct<start:long,end:long>>"
     return rows.mapInArrow(lambda batches: _format(batches, control), schema)
 
 
@@ -157,6 +162,6 @@ def chat_digest(formatted: DataFrame) -> DataFrame:
     The digests run over a conversation from its start to its end; its parts
     pass through one after the other and are never held together.
     """
-    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part").select("conv_id", "formatted", "loss")
+    rows = formatted.repartition("conv_id").sortWithinPartitions(*PARTS).select("conv_id", "formatted", "loss")
     schema = f"conv_id {kind(formatted, 'conv_id')}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return rows.mapInArrow(_digest, schema)

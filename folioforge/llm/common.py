@@ -25,37 +25,45 @@ LOWER[65:91] += 32
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep the Arrow batches that Python workers get small in rows and bytes."""
+    """Keep the Arrow batches that Python workers get small in rows and bytes: two settings of the session, which stay set since plans are run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session names none."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or, where the session names none, a folder of its warehouse."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file:/tmp/checkpoints/folioforge"
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+    return (where or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate").rstrip("/")
 
 
-#: Paths of the tables that this process has written to the shared folder.
+#: Paths of the tables that this process has written to the shared folder; those that are in the catalog, with their names.
 _written: list[str] = []
+_named: dict[str, str] = {}
 
 
-def table_path(spark: SparkSession, name: str) -> str:
+def table_path(spark: SparkSession, name: str, in_catalog: bool = False) -> str:
     """A path for a table in the shared folder, noted for :func:`drop_tables`."""
     _written.append(f"{shared_dir(spark)}/tables/{name}")
+    if in_catalog:
+        _named[_written[-1]] = name
     return _written[-1]
 
 
-def drop_tables(spark: SparkSession) -> int:
-    """Delete the tables that this process has written to the shared folder, once results that read them are no longer needed."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def drop_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables that this process has written to the shared folder, from number ``since`` on and but for the last ``keep``, once nothing reads them any more."""
+    end = max(since, len(_written) - keep)
+    done, _written[since:end] = _written[since:end], []
+    for where in done:
+        if where in _named:
+            spark.sql(f"DROP TABLE IF EXISTS `{_named.pop(where)}`")
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(done)
+
+
+def written() -> int:
+    """How many tables are noted for :func:`drop_tables`."""
+    return len(_written)
 
 
 def materialize(df: DataFrame) -> DataFrame:

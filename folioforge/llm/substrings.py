@@ -175,7 +175,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     name = f"texts_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = rows.groupBy("h").agg(F.first("text").alias("text"), F.least(F.count("*"), F.lit(2)).cast("int").alias("m"))
-    distinct.write.bucketBy(parts, "h").option("compression", "zstd").option("path", table_path(spark, name)).saveAsTable(name)
+    distinct.write.bucketBy(parts, "h").option("compression", "zstd").option("path", table_path(spark, name, in_catalog=True)).saveAsTable(name)
     texts = spark.table(name)
 
     cut = texts.mapInArrow(lambda b: _cut(b, length, gram), "h binary, gram long, seg long, begin int, size int, m int")
