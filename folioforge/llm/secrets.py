@@ -11,11 +11,14 @@ says nothing. ``labelled_samples`` makes such samples: label 1 for strings drawn
 evenly from each of ALPHABETS and values of base matches, label 0 for words,
 identifiers and paths made of them and of ``rules/words.txt``, dates, counters
 and separator rules. Values and words come from about ``most`` different texts
-each, those whose hash falls below their share; words within runs and base
-matches are left out.
+each, those whose hash falls below their share (values: of POOL times as many texts);
+words within runs and base matches are left out.
 
-Positions are code points, end exclusive. Defined cases: a null text is empty and
-has no spans; added runs that overlap a base span are left out; of spans that
+Positions are code points, end exclusive. All work is linear in the length of a text
+and in the number of its spans: values are bound once, folds go over chunks of CHUNK
+items, and masked texts are put together from pieces of PIECE characters.
+
+Defined cases: a null text is empty and has no spans; added runs that overlap a base span are left out; of spans that
 overlap, redaction masks their union; repeated rows give repeated rows; an empty
 table gives no rows; other columns are ignored (or kept, by redaction).
 """
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +47,10 @@ IN_RUNS, PRIOR = 67, 16
 #: What a character's own share and the even share add to a pair's chance: no pair weighs more the larger the samples are.
 OWN, EVEN = 0.1, 0.02
 MOST = 2000
+#: Texts looked through for values of base matches, for each one wanted.
+POOL = 50
+#: Items of a chunk of a fold; characters of a piece of a text.
+CHUNK, PIECE = 256, 1024
 #: What random strings are drawn from: hexadecimal, base32, letters, letters and digits, base64 and its form for urls.
 _CAPITALS, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _SMALL = _CAPITALS.lower()
@@ -54,26 +62,68 @@ ALPHABETS = [
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,match:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fold(items: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """All arrays that ``step`` gives, end to end. step: state and item to the next state and an array of type ``kind``.
+
+    Arrays only grow within chunks, and once for each chunk.
+    """
+    none = F.array().cast(kind)
+
+    def inner(acc: Column, item: Column) -> Column:
+        state, out = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["out"], out).cast(kind).alias("out"))
+
+    def outer(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), inner)
+        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).cast(f"array<{kind}>").alias("out")))
+
+    last = lambda x: F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / CHUNK).cast("int")
+    chunks = _let(items, lambda x: F.transform(F.sequence(F.lit(0), last(x)), lambda c: F.slice(x, c * CHUNK + 1, CHUNK)))
+    return F.flatten(F.aggregate(chunks, F.struct(first.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), outer, lambda acc: acc["out"]))
+
+
 def _spans(text: Column, pattern: str, kind: str) -> Column:
     """All leftmost non-overlapping matches; texts without any cost one search."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast(SPAN)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # The piece behind the last match has none.
+    items = F.filter(F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match"))), lambda x: x["match"].isNotNull())
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
+        end = start + F.length(x["match"])
+        return end, F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match")))
 
-    def add(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(pieces, i))
-        match = F.get(found, i)
-        end = start + F.length(match)
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), match.alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).cast(SPAN).alias("spans"))
+    return F.when(text.rlike(pattern), _fold(items, F.lit(0), step, SPAN)).otherwise(F.array().cast(SPAN))
 
-    first = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, add, lambda acc: acc["spans"])).otherwise(none)
+
+def _assigned(text: Column) -> Column:
+    return F.filter(_spans(text, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 6)
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the three base kinds, by start, then kind."""
-    assign = F.filter(_spans(text, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 6)
-    return F.array_sort(F.concat(assign, _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
+    return F.array_sort(F.concat(_assigned(text), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
+
+
+def _apart(runs: Column, assigned: Column) -> Column:
+    """The runs that no assigned span overlaps. Both are by start, and apart among themselves.
+
+    Of all spans by start, a run is overlapped if the last assigned span before it
+    reaches into it, or the next span is an assigned one that starts within it.
+    """
+    ahead = lambda x: F.zip_with(x, F.slice(x, 2, F.greatest(F.size(x), F.lit(1))), lambda s, n: F.struct(s.alias("s"), n["start"].alias("next"), n["kind_no"].alias("next_kind")))
+
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        run, s = x["s"]["kind_no"] == KINDS.index("markov"), x["s"]
+        hit = (reach > s["start"]) | F.coalesce((x["next_kind"] == KINDS.index("assign")) & (x["next"] < s["end"]), F.lit(False))
+        return F.when(run, reach).otherwise(s["end"]), F.when(run & ~hit, F.array(s)).otherwise(F.array().cast(SPAN))
+
+    return _let(F.array_sort(F.concat(assigned, runs)), lambda all_: _fold(ahead(all_), F.lit(0), step, SPAN))
 
 
 def _pick(options: list, *by: Column | str) -> Column:
@@ -139,13 +189,15 @@ def labelled_samples(docs: DataFrame, most: int = MOST, text: str = "text") -> D
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text")).filter("text is not null")
     hits = F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")
-    n, n_hit = rows.agg(F.count("*"), F.count_if(hits)).first()
-    low = lambda of: F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, of)))
-    hit = rows.filter(low(n_hit)).filter(hits).distinct()
+    low = lambda share: F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, share))
+    n = max(1, rows.count())
+    pool = POOL * most / n
+    n_hit = max(1, rows.filter(low(pool)).filter(hits).count())
+    hit = rows.filter(low(min(1.0, pool) * most / n_hit) & low(pool)).filter(hits).distinct()
     found = hit.select(F.explode(base_spans(F.col("text"))).alias("s"))
     value = F.when(F.col("s.kind") == "assign", F.regexp_extract("s.match", ASSIGN, 2)).otherwise(F.col("s.match"))
     plain = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}|{RUN}", " ")
-    words = rows.filter(low(n)).distinct().select(F.regexp_extract_all(plain, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
+    words = rows.filter(low(most / n)).distinct().select(F.regexp_extract_all(plain, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
     ordinary = words.select(F.explode("w").alias("text")).unionByName(identifiers(words)).distinct().unionByName(identifiers(common_words(spark, 5 * most))).unionByName(dates_and_rules(spark, most))
     odd = found.select(value.alias("text")).unionByName(random_strings(spark, max(1, most // 10)))
     return odd.withColumn("label", F.lit(1)).unionByName(ordinary.withColumn("label", F.lit(0)))
@@ -174,31 +226,46 @@ def train(samples: DataFrame, text: str = "text", label: str = "label") -> list[
 def mean_ratio(run: Column, model: list[float]) -> Column:
     """The mean log-likelihood ratio of the character pairs of a run of ASCII characters."""
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    code = lambda i: F.ascii(F.substring(run, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(2), F.length(run)), F.lit(0.0), lambda acc, i: acc + F.get(table, code(i - 1) * ALPHABET + code(i)))
+
+    def add(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        ratio = F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.get(table, acc["last"] * ALPHABET + code))
+        return F.struct(code.alias("last"), (acc["total"] + ratio).alias("total"))
+
+    total = F.aggregate(F.split(run, ""), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("total")), add, lambda acc: acc["total"])
     return total / (F.length(run) - 1)
 
 
 def find_secrets(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text: str = "text", out: str = "spans") -> DataFrame:
     """``docs`` with all secrets in column ``out``: start, kind_no, end, kind and match, by start, then kind."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumn("__base", base_spans(whole)).withColumn("__runs", _spans(whole, RUN, "markov"))
-    apart = lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    added = F.filter("__runs", lambda r: apart(r) & (mean_ratio(r["match"], model) > threshold))
-    return base.withColumn(out, F.array_sort(F.concat("__base", F.when(F.size("__runs") > 0, added).otherwise(F.col("__runs"))))).drop("__base", "__runs")
+    # A run that a span of the other kinds overlaps holds that span, for all of their characters are those of runs.
+    runs = F.filter(_spans(whole, RUN, "markov"), lambda r: ~r["match"].rlike(f"{ACCESS}|{HEX}") & (mean_ratio(r["match"], model) > threshold))
+    found = docs.withColumn("__base", base_spans(whole)).withColumn("__runs", runs)
+    assigned = F.filter("__base", lambda s: s["kind_no"] == KINDS.index("assign"))
+    added = F.when((F.size("__runs") > 0) & F.exists("__base", lambda s: s["kind_no"] == KINDS.index("assign")), _apart(F.col("__runs"), assigned)).otherwise(F.col("__runs"))
+    return found.withColumn(out, F.when(F.size("__runs") > 0, F.array_sort(F.concat("__base", added))).otherwise(F.col("__base"))).drop("__base", "__runs")
 
 
 def redact(found: DataFrame, text: str = "text", spans: str = "spans", mask: str = "[SECRET]") -> DataFrame:
     """Every secret of ``text`` replaced by ``mask``."""
     whole = F.col(text)
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def masked(pieces: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            """The characters from a to b, from the pieces that hold them."""
+            i, j = (F.floor(x / PIECE).cast("int") for x in (a, b))
+            return F.substring(F.array_join(F.slice(pieces, i + 1, j - i + 1), ""), a - i * PIECE + 1, b - a)
+
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            fresh = F.array(part(at, s["start"]), F.lit(mask))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, fresh).otherwise(F.array().cast("array<string>"))
+
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        rest = _let(end, lambda e: part(e, F.greatest(e, F.length(whole))))
+        return F.array_join(F.concat(_fold(F.col(spans), F.lit(0), step, "array<string>"), F.array(rest)), "")
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    made = F.aggregate(spans, first, add, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+    made = _let(F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), masked)
     return found.withColumn(text, F.when(F.size(spans) > 0, made).otherwise(whole))
 
 
