@@ -2,7 +2,8 @@
 
 The fingerprint of a text has 64 bits; a bit is 1 if it is set in over half the
 hashes of the text's word shingles. Two texts are linked if their fingerprints
-differ in at most ``most`` bits (3).
+differ in at most MOST bits (3). ``similar`` has the same method for a similarity of
+texts instead of a number of bits, and ``keep_one``.
 
 A fingerprint is a ring of 4 segments of 16 bits. If two fingerprints differ in
 at most 3 bits, then from some segment on every chain of l consecutive segments
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, steps, tune, wider
 from .graph import components
+from .similar import keep_one  # noqa: F401
 
 SEGMENTS, WIDTH, MOST = 4, 16, 3
 
@@ -193,15 +195,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def near_duplicate_report(found: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id."""
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, the one with the least id; of equal ids the least by fingerprint and hash of the text."""
-    rows = materialize(with_fingerprints(docs, text, "__fp").withColumn("__h", F.xxhash64(text)))
-    nodes = materialize(rows.select(F.col("__fp").alias("fp")).distinct())
-    roots = materialize(nodes.join(link_components(nodes), "fp", "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("__root")))
-    rank = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("__fp").alias("fp"), F.col("__h").alias("h"))
-    keepers = rows.select(doc_id, "__fp", "__h").join(roots, "__fp").groupBy("__root").agg(F.min(rank).alias("k"))
-    keepers = keepers.select(F.col("k.id").alias("__id"), F.col("k.fp").alias("__kfp"), F.col("k.h").alias("__kh"))
-    kept = rows.join(keepers, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kfp")) & (F.col("__h") == F.col("__kh")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__fp", "__h"]).drop("__fp", "__h")

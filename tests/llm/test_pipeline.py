@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 from folioforge.llm import secrets, toxicity
 from test_decontam import brute as brute_hits
-from test_simhash import brute_components, brute_print
+from test_similar import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark):
     scores = toxicity.score(docs, toxicity.train(docs, labels)).filter("predicted = 1").collect()
     assert {r["doc_id"] for r in rows[1]} == {r["doc_id"] for r in rows[0]} - {r.doc_id for r in scores}
     texts = sorted((r["doc_id"], r["text"]) for r in rows[1])
-    label = brute_components([brute_print(t) for _, t in texts])
+    label = brute_groups([t for _, t in texts])
     first = {}
     for (i, _), x in zip(texts, label):
         first.setdefault(x, i)
