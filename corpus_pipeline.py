@@ -3,7 +3,8 @@
 Five stages, each with one operator, work on all that the stage before has kept:
 
 1. toxicity: documents that the classifier rejects go.
-2. near_duplicates: of each group of near-duplicates one document stays.
+2. near_duplicates: of each group of near-duplicates (similarity of their sets of five
+   words in a row 0.8 or more) one document stays.
 3. decontamination: documents that hold a window of the benchmark go.
 4. secrets: all secrets in texts are masked.
 5. mixing: the words that the mix takes of each document.
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import decontam, mixing, secrets, simhash, toxicity
-from folioforge.llm.common import materialize
+from folioforge.llm.common import drop_tables, materialize, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints, the one with the least id."""
+    """One document of each group of near-duplicates at similarity 0.8 of five-word shingles, the one with the least id."""
     return simhash.keep_one(docs).select(docs.columns)
 
 
@@ -62,10 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages, one after the other, to ``documents``; each result is written before the next stage reads it."""
+    """Apply the stages, one after the other, to ``documents``; each result is written before the next stage reads it.
+
+    Tables that a stage has written for itself are deleted once its result is written.
+    """
+    since = written()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs)
+            drop_tables(spark, since, keep=1)
     return docs
