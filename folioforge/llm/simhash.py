@@ -14,7 +14,10 @@ of its zero bits in turn); the chains of three and four are checked on the pair.
 Only distinct fingerprints are compared, so exact copies cost nothing, and every
 task gives a spanning forest of the links that it finds instead of all pairs.
 Links of a key are found in blocks, so a large group of near copies is neither
-cut nor held as pairs. Components come from star steps over tables.
+cut nor held as pairs; a key with many fingerprints is cut into parts of about PART,
+and every two parts are one unit of work, wherever it is done. (Keys are known to be
+large from a share of the fingerprints; what that misses costs time, no links.)
+Components come from star steps over tables.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows stay
@@ -37,6 +40,8 @@ from .graph import components
 from .similar import keep_one  # noqa: F401
 
 SEGMENTS, WIDTH, MOST = 4, 16, 3
+#: Fingerprints in a part of a large key; one in SHARE fingerprints tells large keys.
+PART, SHARE = 2048, 16
 
 
 def fingerprint(text: bytes, words_in: int = 3, seed: int = 42) -> int:
@@ -114,9 +119,9 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def links(keys: np.ndarray, fps: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the linked fingerprints among rows sorted by key."""
-    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+def links(keys: np.ndarray, fps: np.ndarray, exact: np.ndarray, units: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the linked fingerprints among rows sorted by key and unit; in a unit with two halves, of the links between these."""
+    edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (units[1:] != units[:-1]), True])
     sizes = np.diff(edge)
     first = (keys >> np.uint64(2 * WIDTH)).astype(np.int64)
     us, vs = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
@@ -133,14 +138,15 @@ def links(keys: np.ndarray, fps: np.ndarray, exact: np.ndarray) -> tuple[np.ndar
         us.append(fps[i[ok]])
         vs.append(fps[i[ok] + d])
     for g in np.flatnonzero(sizes > 32).tolist():
-        x, e = fps[edge[g] : edge[g + 1]], exact[edge[g] : edge[g + 1]]
-        start, unchanged = first[edge[g] : edge[g] + 1], x[e]
-        for at in range(0, len(unchanged), 256):
-            part = unchanged[at : at + 256]
-            i, j = np.nonzero(chains_hold(part[:, None] ^ x[None, :], start))
-            a, b = forest(part[i], x[j])
-            us.append(a)
-            vs.append(b)
+        x, e, left = (a[edge[g] : edge[g + 1]] for a in (fps, exact, half))
+        start = first[edge[g] : edge[g] + 1]
+        for asked, other in [(x[e], x)] if left.all() else [(x[e & left], x[~left]), (x[e & ~left], x[left])]:
+            for at in range(0, len(asked), 256):
+                part = asked[at : at + 256]
+                i, j = np.nonzero(chains_hold(part[:, None] ^ other[None, :], start))
+                a, b = forest(part[i], other[j])
+                us.append(a)
+                vs.append(b)
     return forest(np.concatenate(us), np.concatenate(vs))
 
 
@@ -153,33 +159,43 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _link(batches: Iterator[pa.RecordBatch], at_once: int = 1 << 17) -> Iterator[pa.RecordBatch]:
     held: list[list[np.ndarray]] = []
+    size = 0
 
     def out(parts):
         u, v = links(*parts)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    def joined():
-        parts = [np.concatenate([h[i] for h in held]) for i in range(3)]
-        held.clear()
-        return parts
-
     for batch in batches:
-        held.append([batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)])
-        if sum(len(h[0]) for h in held) >= at_once:
-            parts = joined()
-            # The last key may go on in the next batch.
-            cut = int(np.searchsorted(parts[0], parts[0][-1]))
-            held.append([p[cut:] for p in parts])
-            if cut:
-                yield out([p[:cut] for p in parts])
+        if not batch.num_rows:
+            continue
+        parts = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        parts[:2] = (p.view(np.uint64) for p in parts[:2])
+        key, unit = parts[0], parts[3]
+        # What is held ends with the first key and unit of this batch.
+        ends = np.flatnonzero((key[1:] != key[:-1]) | (unit[1:] != unit[:-1])) + 1
+        if size >= at_once and len(ends):
+            yield out([np.concatenate([*(h[i] for h in held), p[: ends[0]]]) for i, p in enumerate(parts)])
+            held, size, parts = [], 0, [p[ends[0] :] for p in parts]
+        held.append(parts)
+        size += len(parts[0])
     if held:
-        yield out(joined())
+        yield out([np.concatenate([h[i] for h in held]) for i in range(5)])
 
 
-def link_components(nodes: DataFrame) -> DataFrame:
+def link_components(nodes: DataFrame, part: int = PART) -> DataFrame:
     """fp and root (the least fingerprint reachable) for those of the distinct fingerprints ``fp`` that have links."""
-    rows = nodes.select("fp").mapInArrow(_expand, "key long, fp long, exact boolean")
-    rows = rows.repartition("key").sortWithinPartitions("key")
+    keyed = lambda some: some.select("fp").mapInArrow(_expand, "key long, fp long, exact boolean")
+    rows = keyed(nodes)
+    counts = keyed(nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(SHARE)) == 0)).groupBy("key").count()
+    large = materialize(counts.filter(F.col("count") * SHARE > part).select("key", F.ceil(F.col("count") * SHARE / part).alias("parts")))
+    if large.isEmpty():
+        rows = rows.select("*", F.lit(0).cast("long").alias("unit"), F.lit(True).alias("half"))
+    else:
+        own = F.pmod(F.xxhash64("fp", F.lit(1)), "parts")
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.struct((F.least(own, q) * F.col("parts") + F.greatest(own, q)).alias("unit"), (own <= q).alias("half")))
+        alone = F.array(F.struct(F.lit(0).cast("long").alias("unit"), F.lit(True).alias("half")))
+        rows = rows.join(large, "key", "left").select("key", "fp", "exact", F.inline(F.when(F.col("parts").isNull(), alone).otherwise(pairs)))
+    rows = rows.repartition("key", "unit").sortWithinPartitions("key", "unit")
     return components(rows.mapInArrow(_link, "u long, v long")).withColumnRenamed("u", "fp")
 
 

@@ -17,8 +17,12 @@ window covers is removed.
    follow its own words; the number of shards follows the input.
    The repeated k-grams are written before segments are joined with them: a join of
    two plain shuffles is one that Spark can split where a k-gram is hot.
-4. A k-gram with more than ``crowd`` different segments is split: its windows become
-   segments of their own, dealt by a hash of all their words.
+4. A k-gram with more than ``crowd`` different segments would be one huge key of an
+   index: its windows are counted by a hash of all their words instead, which adds up
+   before it shuffles, and so does not care how often one window occurs.
+
+So the index decides on what is shared in part between segments; whole copies, equal
+segments and windows of crowded k-grams are decided by counts.
 
 Words are compared by 64-bit hashes, windows by the hashes of all their words.
 
@@ -77,27 +81,36 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.
         )
 
 
+def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Word hashes of a batch; and of the segments that its texts stand for: row, first word (of all words, and of the text), number of windows, k-gram, whether it occurs once."""
+    words, bounds = _words(batch)
+    lists = batch.column("segs")
+    flat = lists.flatten()
+    gram, begin, size, single = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("gram", "begin", "size", "single"))
+    row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return words, row, bounds[row] + begin, begin, size, gram, single
+
+
 def _spell(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The word hashes of the segments that each text stands for, with the key of their shard."""
+    """The word hashes of segments, with the key of their shard."""
     for batch in steps(batches, "text"):
-        words, bounds = _words(batch)
-        lists = batch.column("segs")
-        flat = lists.flatten()
-        gram, begin, size, single, crowded = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("gram", "begin", "size", "single", "crowded"))
-        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-        # Crowded segments fall into their windows.
-        parts = np.where(crowded, size, 1)
-        own = np.repeat(np.arange(len(row)), parts)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin, count = begin[own] + step, np.where(crowded[own], length, size[own] + length - 1)
-        s = bounds[row[own]] + begin
-        key = gram[own].view(np.uint64).copy()
-        c = crowded[own]
-        key[c] = mix64(range_hashes(words, s[c], s[c] + length))
+        words, row, at, begin, size, gram, single = _listed(batch)
+        count = size + length - 1
         ends = np.r_[0, np.cumsum(count)]
-        body = words[np.repeat(s - ends[:-1], count) + np.arange(ends[-1])]
-        spelled = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(body)])
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("h").take(pa.array(row[own])), pa.array(begin.astype(np.int32)), pa.array(single[own]), spelled], ["key", "h", "begin", "single", "words"])
+        body = words[np.repeat(at - ends[:-1], count) + np.arange(ends[-1])]
+        spelled = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(body)])
+        yield pa.RecordBatch.from_arrays([pa.array(gram), batch.column("h").take(pa.array(row)), pa.array(begin.astype(np.int32)), pa.array(single), spelled], ["key", "h", "begin", "single", "words"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The hash of every window of segments."""
+    for batch in steps(batches, "text"):
+        words, row, at, begin, size, _, single = _listed(batch)
+        own = np.repeat(np.arange(len(row)), size)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+        s = at[own] + step
+        hashes = mix64(range_hashes(words, s, s + length))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("h").take(pa.array(row[own])), pa.array((begin[own] + step).astype(np.int32)), pa.array(single[own])], ["window", "h", "begin", "single"])
 
 
 def search(texts: list[np.ndarray], single: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,27 +129,30 @@ def search(texts: list[np.ndarray], single: np.ndarray, length: int) -> tuple[np
 def _search(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
     """Blocks of whole keys, each with an index of its own."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, last = 0, None
 
-    def out(rows: pa.Table) -> pa.RecordBatch:
+    def out() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
         texts = [np.frombuffer(w, np.uint64) for w in rows.column("words").to_pylist()]
         row, a, b = search(texts, rows.column("single").to_numpy(), length)
         base = rows.column("begin").to_numpy()[row]
         return pa.RecordBatch.from_arrays([rows.column("h").take(pa.array(row)).combine_chunks(), pa.array((base + a).astype(np.int32)), pa.array((base + b).astype(np.int32))], ["h", "start", "end"])
 
     for batch in batches:
-        held.append(batch)
-        size += batch.column("words").nbytes // 8
-        if size >= most:
-            rows = pa.Table.from_batches(held)
-            keys = rows.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield out(rows.slice(0, cut))
-            rest = rows.slice(cut).combine_chunks()
-            held, size = rest.to_batches(), 0 if cut else size
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:]):
+            # A block ends before a new key, once it is large enough.
+            if size >= most and keys[a] != last:
+                yield out()
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size += held[-1].column("words").nbytes // 8
+            last = keys[a]
     if held:
-        yield out(pa.Table.from_batches(held))
+        yield out()
 
 
 def _drop(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -184,12 +200,18 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     cut = materialize(cut.join(again, "gram", "left_semi"))
     stands = F.min(F.struct("h", "begin", "size"))
     segs = materialize(cut.groupBy("gram", "seg").agg(F.sum("m").alias("m"), stands.alias("at")))
-    # Only k-grams with a segment that occurs once, next to others, need an index.
+    # Only k-grams with a segment that occurs once, next to others, are looked into.
     open_ = segs.groupBy("gram").agg(F.count("*").alias("n"), F.count_if(F.col("m") == 1).alias("n_single")).filter("n > 1 and n_single > 0")
     asked = segs.join(materialize(open_.select("gram", (F.col("n") > crowd).alias("crowded"))), "gram")
-    asked = asked.select("at.h", F.struct("gram", "at.begin", "at.size", (F.col("m") == 1).alias("single"), "crowded").alias("seg")).groupBy("h").agg(F.collect_list("seg").alias("segs"))
-    spelled = texts.join(asked, "h").select("h", "text", "segs").mapInArrow(lambda b: _spell(b, length), "key long, h binary, begin int, single boolean, words binary")
+    asked = materialize(asked.select("at.h", "crowded", F.struct("gram", "at.begin", "at.size", (F.col("m") == 1).alias("single")).alias("seg")))
+    of = lambda which: texts.join(asked.filter(which).groupBy("h").agg(F.collect_list("seg").alias("segs")), "h").select("h", "text", "segs")
+    spelled = of("not crowded").mapInArrow(lambda b: _spell(b, length), "key long, h binary, begin int, single boolean, words binary")
     found = spelled.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _search(b, length, BLOCK_WORDS), "h binary, start int, end int")
+    if not asked.filter("crowded").isEmpty():
+        windows = materialize(of("crowded").mapInArrow(lambda b: _windows(b, length), "window long, h binary, begin int, single boolean"))
+        twice = materialize(windows.groupBy("window").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("n")).filter("n > 1").select("window"))
+        hit = windows.filter("single").join(twice, "window", "left_semi").select("h", F.col("begin").alias("start"), (F.col("begin") + length).alias("end"))
+        found = found.unionByName(hit)
     many = cut.join(segs.filter("m > 1").select("gram", "seg"), ["gram", "seg"], "left_semi")
     many = many.filter("m = 1").select("h", F.col("begin").alias("start"), (F.col("begin") + F.col("size") + (length - 1)).alias("end"))
     cover = materialize(found.unionByName(many).groupBy("h").agg(F.collect_list(F.struct("start", "end")).alias("cover")))
