@@ -10,10 +10,12 @@ byte.
 A window is ``length`` consecutive words of an item, or the whole item if it has
 fewer. For each window length L that occurs, k = min(5, L) and w = L - k + 1.
 
-The benchmark is the small side: its size is measured first, and it is cut into
-blocks of at most ``block_bytes`` of text. A block is broadcast and joined on the
-map side, so documents are never shuffled; with several blocks the documents
-pass once for each.
+The benchmark's size is measured first. Up to ``block_bytes`` of text its windows and
+fingerprints are broadcast and joined on the map side, and documents are never
+shuffled. A larger benchmark stays in tables: up to PRINTS fingerprints (eight bytes
+each) are broadcast to find the texts that have any, more are joined with those of the
+documents; the windows of the texts found are joined with the benchmark's by hash, and
+what meets is compared byte for byte. The documents pass once in any case.
 
 Defined cases: a null text has no words; an item without words has no windows;
 an item with a null id marks words but isn't listed; items with one id count
@@ -38,7 +40,9 @@ WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = True
 WORD[0x80:] = True
 
 GRAM = 5
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text whose index is broadcast (it takes about 400 times as much memory); fingerprints that are broadcast.
+BLOCK_BYTES = 256 << 10
+PRINTS = 4_000_000
 
 
 def winnow(grams: np.ndarray, w: int) -> np.ndarray:
@@ -137,8 +141,8 @@ def _hits(index: Index, data: np.ndarray, a: np.ndarray, b: np.ndarray, bounds:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index, text: str, again: bool) -> Iterator[pa.RecordBatch]:
-    """The batches with columns __n_words, __spans and __item_ids; ``again``: these are there already and are added to."""
+def _scan(batches: Iterator[pa.RecordBatch], index, text: str) -> Iterator[pa.RecordBatch]:
+    """The batches with columns __n_words, __spans and __item_ids."""
     index = index.value
     for batch in steps(batches, text):
         data, offsets = text_bytes(batch.column(text))
@@ -152,41 +156,149 @@ def _scan(batches: Iterator[pa.RecordBatch], index, text: str, again: bool) -> I
                 cut.setdefault(row, []).append((s - int(bounds[row]), s - int(bounds[row]) + size))
                 names[row] |= of
         ids = [[index.ids[i] for i in sorted(x)] for x in names]
-        kept = batch.columns
-        if again:
-            kept = kept[:-3]
-            for row, (old, had) in enumerate(zip(batch.column("__spans").to_pylist(), batch.column("__item_ids").to_pylist())):
-                if row in cut:
-                    cut[row] += [(x["start"], x["end"]) for x in old]
-                else:
-                    marks[row] = old
-                ids[row] = sorted({*ids[row], *had})
         for row, found in cut.items():
             found.sort()
             s, e = merge_intervals(*np.array(found).T)
             marks[row] = [{"start": i, "end": j} for i, j in zip(s.tolist(), e.tolist())]
         yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(np.diff(bounds)), pa.array(marks, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(ids, pa.list_(pa.string()))],
-            [*batch.schema.names[: len(kept)], "__n_words", "__spans", "__item_ids"],
+            [*batch.columns, pa.array(np.diff(bounds)), pa.array(marks, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(ids, pa.list_(pa.string()))],
+            [*batch.schema.names, "__n_words", "__spans", "__item_ids"],
         )
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _parsed(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with small letters, start, end and hash of each word, and the first word of each text, and the end."""
+    data, offsets = text_bytes(texts)
+    data = LOWER[data]
+    a, b, bounds = spans(WORD[data], offsets)
+    return data.tobytes(), a, b, word_hashes(data, a, b), bounds
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """item, size, hash and words of every window of items."""
+    for batch in steps(batches, "words"):
+        raw, a, b, words, bounds = _parsed(batch.column("words"))
+        out: list[tuple] = []
+        for item, lo, hi in zip(batch.column("item").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            size = min(length, hi - lo)
+            if size:
+                hashes = kgram_hashes(words[lo:hi], size).view(np.int64).tolist()
+                cut = [raw[i:j].decode() for i, j in zip(a[lo:hi].tolist(), b[lo:hi].tolist())]
+                out += [(item, size, h, " ".join(cut[s : s + size])) for s, h in enumerate(hashes)]
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["item", "size", "hash", "window"])
+
+
+def _item_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """size and fingerprint of windows."""
+    for batch in steps(batches, "window"):
+        sizes = batch.column("size").to_numpy()
+        for size in np.unique(sizes).tolist():
+            _, _, _, words, bounds = _parsed(batch.column("window").filter(pa.array(sizes == size)))
+            k, w = _shape(size)
+            grams = kgram_hashes(words, k)
+            found = np.unique(grams[winnow(grams, w)[bounds[:-1]]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), size, np.int32)), pa.array(found.view(np.int64))], ["size", "print"])
+
+
+def _doc_prints(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """The distinct fingerprints of each text, for each window size: key, size, print."""
+    for batch in steps(batches, "text"):
+        _, _, _, words, bounds = _parsed(batch.column("text"))
+        for size in sizes:
+            k, w = _shape(size)
+            grams = kgram_hashes(words, k)
+            starts = np.flatnonzero(_whole(bounds, size, len(words)))
+            if len(starts):
+                rows = np.searchsorted(bounds, starts, "right") - 1
+                found = np.unique(np.stack([rows.astype(np.uint64), grams[winnow(grams, w)[starts]]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(found[:, 0].astype(np.int64))), pa.array(np.full(len(found), size, np.int32)), pa.array(found[:, 1].view(np.int64))], ["key", "size", "print"])
+
+
+def _doc_windows(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """key, start, size and hash of every window of texts."""
+    for batch in steps(batches, "text"):
+        _, _, _, words, bounds = _parsed(batch.column("text"))
+        for size in sizes:
+            starts = np.flatnonzero(_whole(bounds, size, len(words)))
+            if len(starts):
+                rows = np.searchsorted(bounds, starts, "right") - 1
+                hashes = kgram_hashes(words, size)[starts]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows)), pa.array((starts - bounds[rows]).astype(np.int32)), pa.array(np.full(len(starts), size, np.int32)), pa.array(hashes.view(np.int64))], ["key", "start", "size", "hash"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans and item ids of the hits whose words are those of the window."""
+    for batch in steps(batches, "text"):
+        raw, a, b, _, bounds = _parsed(batch.column("text"))
+        marks, names = [], []
+        for lo, hits in zip(bounds[:-1].tolist(), batch.column("hits").to_pylist()):
+            cut, ids = [], set()
+            for h in hits:
+                i, j = lo + h["start"], lo + h["start"] + h["size"]
+                if b" ".join(raw[x:y] for x, y in zip(a[i:j].tolist(), b[i:j].tolist())) == h["window"].encode():
+                    cut.append((h["start"], h["start"] + h["size"]))
+                    ids.update(h["items"])
+            cut.sort()
+            s, e = merge_intervals(*np.array(cut).reshape(-1, 2).T)
+            marks.append([{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist())])
+            names.append(sorted(ids))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(marks, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(names, pa.list_(pa.string()))], ["__key", "__spans", "__item_ids"])
+
+
+def _among_batches(batches: Iterator[pa.RecordBatch], known, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text has a known fingerprint."""
+    for batch in steps(batches, "text"):
+        _, _, _, words, bounds = _parsed(batch.column("text"))
+        hit = np.zeros(batch.num_rows, bool)
+        for size in sizes:
+            k, w = _shape(size)
+            grams = kgram_hashes(words, k)
+            starts = np.flatnonzero(_whole(bounds, size, len(words)))
+            at = starts[_among(grams[winnow(grams, w)[starts]], known.value[size])]
+            hit[np.searchsorted(bounds, at, "right") - 1] = True
+        yield batch.filter(pa.array(hit))
+
+
+def _joined(docs: DataFrame, items: DataFrame, length: int, text: str, most_prints: int) -> DataFrame:
+    """The hits of a benchmark of any size, by joins of tables."""
+    spark = docs.sparkSession
+    windows = items.mapInArrow(lambda b: _item_windows(b, length), "item string, size int, hash long, window string")
+    windows = materialize(windows.groupBy("size", "hash", "window").agg(F.collect_set("item").alias("items")))
+    prints = materialize(windows.select("size", "window").mapInArrow(_item_prints, "size int, print long").distinct())
+    # At most ``length`` numbers.
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
+    key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    texts = docs.select(key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if prints.count() <= most_prints:
+        found = prints.toArrow()
+        of = found.column("size").to_numpy()
+        known = spark.sparkContext.broadcast({n: np.sort(found.column("print").to_numpy()[of == n].view(np.uint64)) for n in sizes})
+        some = texts.mapInArrow(lambda b: _among_batches(b, known, sizes), "key binary, text string")
+    else:
+        has = texts.mapInArrow(lambda b: _doc_prints(b, sizes), "key binary, size int, print long").join(prints, ["size", "print"], "left_semi")
+        some = texts.join(materialize(has.select("key").distinct()), "key", "left_semi")
+    some = materialize(some.groupBy("key").agg(F.min("text").alias("text")))
+    met = some.mapInArrow(lambda b: _doc_windows(b, sizes), "key binary, start int, size int, hash long").join(windows, ["size", "hash"])
+    hits = met.groupBy("key").agg(F.collect_list(F.struct("start", "size", "window", "items")).alias("hits"))
+    spot = materialize(some.join(hits, "key").mapInArrow(_compare, "__key binary, __spans array<struct<start:int,end:int>>, __item_ids array<string>"))
+    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    out = docs.withColumn("__of", key).join(spot, F.col("__of") == F.col("__key"), "left")
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(spot.schema[c].dataType)).alias(c)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), n_words.alias("__n_words"), none("__spans"), none("__item_ids"))
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, most_prints: int = PRINTS) -> DataFrame:
     """``docs`` with __n_words, __spans (hit words as intervals) and __item_ids (sorted as strings)."""
     spark = docs.sparkSession
     tune(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("words"))
-    total = items.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    out = docs
+    total = items.agg(F.sum(F.coalesce(F.octet_length("words"), F.lit(0)) + 64)).first()[0] or 0
+    if total > block_bytes:
+        return _joined(docs, items, length, text, most_prints)
+    index = spark.sparkContext.broadcast(Index([(r["item"], r["words"]) for r in items.collect()], length))
     schema = wider(docs, __n_words="long", __spans="array<struct<start:int,end:int>>", __item_ids="array<string>")
-    for n in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == n) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(Index([(r["item"], r["words"]) for r in block.collect()], length))
-        out = out.mapInArrow(lambda batches, index=index, again=n > 0: _scan(batches, index, text, again), schema)
-        if n < blocks - 1:
-            out = materialize(out)
-    return out
+    return docs.mapInArrow(lambda batches: _scan(batches, index, text), schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, text: str = "text") -> DataFrame:
@@ -194,14 +306,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, t
     return with_hits(docs, benchmark, length, text).filter(F.size("__spans") == 0).select(docs.columns)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, most_prints: int = PRINTS) -> DataFrame:
     """doc_id, text, n_words, spans and item_ids for each document.
 
     ``spans`` has the hit words as intervals (end exclusive), ``item_ids`` the
     items of the windows found, sorted as strings.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = with_hits(rows, benchmark, length, "text", item_id, item_text, block_bytes)
+    found = with_hits(rows, benchmark, length, "text", item_id, item_text, block_bytes, most_prints)
     return found.select("doc_id", "text", F.col("__n_words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__item_ids").alias("item_ids"))
 
 
