@@ -7,9 +7,10 @@ counted, the counts are corrected for the false positives that each language's
 filling gives, and the highest corrected count decides (of equals the first
 language in code point order).
 
-An n-gram (order 3 to 5, letters as small, other characters as one space) belongs
+An n-gram (3 to 5 characters, letters as small, other characters as one space) belongs
 to a language if at least ``share`` of its sampled texts have it. The sample is
-about ``most`` texts a language, picked by hash; all whole texts are judged.
+about ``most`` texts a language, picked by hash; all whole texts are judged, long ones
+in pieces of PIECE characters that overlap, so memory is a few times the text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so
 is every text if there is no language to learn; null languages teach nothing;
@@ -33,27 +34,47 @@ ORDERS = (3, 4, 5)
 HASHES = 3
 MOST = 1000
 SHARE = 0.02
+#: Characters whose n-grams are looked up at once.
+PIECE = 1 << 18
 
 
-def gram_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all n-grams of all texts (over the UTF-8 bytes of whole words and their borders), and the text of each."""
+def gram_pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """64-bit hashes of all n-grams of all texts (whole words and their borders), and the text of each, piece by piece."""
     texts = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[\x00-\x60\x7B-\x7F]+", " ")
-    data, offsets = text_bytes(pc.binary_join_element_wise("", texts, " ", " "))
-    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
-    value, hashes, rows = np.zeros(len(data), np.uint64), [], []
-    wide = data.astype(np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        size = len(data) - n + 1
-        if size <= 0:
-            break
-        value = value[:size] << np.uint64(8) | wide[n - 1 :]
-        if n in ORDERS:
-            ok = row[:size] == row[n - 1 :]
-            hashes.append(value[ok] + np.uint64(n << 56))
-            rows.append(row[:size][ok])
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int32)
-    return np.concatenate(hashes), np.concatenate(rows)
+    texts = pc.binary_join_element_wise("", texts, " ", " ")
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+    for at in range(0, len(points), PIECE):
+        wide, own = points[at : at + PIECE + max(ORDERS) - 1].astype(np.uint64), row[at : at + PIECE + max(ORDERS) - 1]
+        value, hashes, rows = np.zeros(len(wide), np.uint64), [], []
+        for n in range(1, max(ORDERS) + 1):
+            size = len(wide) - n + 1
+            if size <= 0:
+                break
+            value = value[:size] * np.uint64(0x9E3779B97F4A7C15) + wide[n - 1 :]
+            if n in ORDERS:
+                ok = own[:size] == own[n - 1 :]
+                # N-grams that start beyond the piece are those of the next one.
+                ok[PIECE:] = False
+                hashes.append(value[ok] ^ np.uint64(n << 56))
+                rows.append(own[:size][ok])
+        if hashes:
+            yield np.concatenate(hashes), np.concatenate(rows)
+
+
+def gram_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All of :func:`gram_pieces`."""
+    parts = list(gram_pieces(texts)) or [(np.empty(0, np.uint64), np.empty(0, np.int32))]
+    return np.concatenate([h for h, _ in parts]), np.concatenate([r for _, r in parts])
+
+
+def once(grams: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram of a text once."""
+    order = np.lexsort((row, grams))
+    grams, row = grams[order], row[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
+    return grams[new], row[new]
 
 
 class Filters(NamedTuple):
@@ -89,9 +110,12 @@ class Filters(NamedTuple):
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
         if not self.langs:
             return ["und"] * n, np.zeros(n)
-        grams, row = gram_hashes(texts)
-        masks, total, rates = self.lookup(grams), np.bincount(row, minlength=n), self.false_positives()
-        counts = np.stack([np.bincount(row, (masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(float), n) for i in range(len(self.langs))])
+        total, rates, counts = np.zeros(n), self.false_positives(), np.zeros((len(self.langs), n))
+        for grams, row in gram_pieces(texts):
+            masks = self.lookup(grams)
+            total += np.bincount(row, minlength=n)
+            for i in range(len(self.langs)):
+                counts[i] += np.bincount(row, (masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(float), n)
         right = np.maximum((counts - total * rates[:, None]) / (1 - np.minimum(rates, 0.99))[:, None], 0)
         best = right.argmax(0)
         score = np.clip(right[best, np.arange(n)] / np.maximum(total, 1), 0, 1)
@@ -121,12 +145,10 @@ def train(docs: DataFrame, most: int = MOST, share: float = SHARE, doc_id: str =
             names = batch.column("lang").to_pylist()
             langs = sorted(set(names))
             code = np.array([langs.index(x) for x in names])
-            grams, row = gram_hashes(batch.column("text"))
             # Once for each text, then the number of texts for each language.
-            order = np.lexsort((row, grams))
-            grams, row = grams[order], row[order]
-            new = np.r_[True, (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])][: len(grams)]
-            grams, of = grams[new], code[row[new]]
+            parts = [once(*p) for p in gram_pieces(batch.column("text"))]
+            grams, row = once(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            of = code[row]
             for i, name in enumerate(langs):
                 values, counts = np.unique(grams[of == i], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
