@@ -1,8 +1,9 @@
 """Telephony audio columns.
 
 Mu-law and A-law are expanded by lookup tables; IMA ADPCM blocks are decoded by
-numpy steps over all blocks at once; the samples are resampled and stored as
-16-bit PCM next to the coded form in its WAV container.
+numpy steps over all blocks of a batch at once; the samples are resampled and stored
+as 16-bit PCM next to the coded form in its WAV container. A row's codec is given, or
+picked by the CRC-32 of its payload, so that a table holds all of them.
 
 Defined cases: a null payload is an empty one; an empty table gives no rows;
 equal payloads give equal rows; other columns are ignored.
@@ -73,13 +74,26 @@ def ima_decode(blocks: np.ndarray) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Linear resampling in whole numbers; the last sample is held at the end."""
-    if source == target or not len(pcm):
-        return pcm
-    at = np.arange(len(pcm) * target // source, dtype=np.int64) * source
-    i, part = at // target, at % target
-    a, b = pcm[i].astype(np.int64), pcm[np.minimum(i + 1, len(pcm) - 1)].astype(np.int64)
-    return ((a * (target - part) + b * part) // target).astype(np.int16)
+    """Linear resampling in whole numbers; the last sample is held at the end. Going down, samples are means over the span that they stand for."""
+    return resample_all(pcm, np.array([0, len(pcm)]), source, target)[0] if source != target and len(pcm) else pcm
+
+
+def resample_all(pcm: np.ndarray, bounds: np.ndarray, source: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`resample` of every run pcm[bounds[i]:bounds[i + 1]]: samples, and their bounds."""
+    if source == target:
+        return pcm, bounds
+    sizes, x = np.diff(bounds), pcm.astype(np.int64)
+    last = np.repeat(bounds[1:], sizes)
+    if target < source:
+        sums, at = np.r_[0, np.cumsum(x)], np.arange(len(x))
+        end = np.minimum(at + -(-source // target), last)
+        x = (sums[end] - sums[at]) // np.maximum(end - at, 1)
+    made = sizes * target // source
+    out = np.r_[0, np.cumsum(made)]
+    at = (np.arange(out[-1]) - np.repeat(out[:-1], made)) * source
+    i, part = np.repeat(bounds[:-1], made) + at // target, at % target
+    j = np.minimum(i + 1, np.repeat(bounds[1:], made) - 1)
+    return ((x[i] * (target - part) + x[j] * part) // target).astype(np.int16), out
 
 
 #: Codec: WAV format tag, bits a sample.
@@ -113,40 +127,64 @@ def unwav(media: bytes) -> tuple[int, int, int, bytes]:
     raise ValueError("no data chunk")
 
 
+MULAW, ALAW = mulaw_table(), alaw_table()
+
+
 def decode(media: bytes) -> np.ndarray:
     """16-bit samples of a WAV file."""
-    tag, _, align, data = unwav(media)
-    codes = np.frombuffer(data, np.uint8)
-    if tag == 7:
-        return mulaw_table()[codes]
-    if tag == 6:
-        return alaw_table()[codes]
-    if tag == 0x11:
-        return ima_decode(codes[: len(codes) // align * align].reshape(-1, align)).ravel()
-    return codes.view("<i2")
-
-
-def store_audio(rows: DataFrame, payload: str, codec: str = "mulaw", rate: int = RATE, target: int = 2 * RATE, key: str = "doc_id") -> DataFrame:
+    return decode_all([media])[0]
+
+
+def decode_all(files: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit samples of all WAV files, end to end, and the bounds of each; files of one form are decoded at once."""
+    parts = [unwav(f) for f in files]
+    forms: dict[tuple[int, int], list[int]] = {}
+    for i, (tag, _, align, _) in enumerate(parts):
+        forms.setdefault((tag, align), []).append(i)
+    made: list[np.ndarray] = [np.empty(0, np.int16)] * len(files)
+    for (tag, align), own in forms.items():
+        # Whole blocks only.
+        data = [parts[i][3][: len(parts[i][3]) // align * align] for i in own]
+        codes = np.frombuffer(b"".join(data), np.uint8)
+        if tag == 0x11:
+            pcm, per = ima_decode(codes.reshape(-1, align)).ravel(), (1 + 2 * (align - 4), align)
+        elif tag in (6, 7):
+            pcm, per = (MULAW if tag == 7 else ALAW)[codes], (1, 1)
+        else:
+            pcm, per = codes.view("<i2"), (1, 2)
+        ends = np.cumsum([len(d) * per[0] // per[1] for d in data])
+        for i, x in zip(own, np.split(pcm, ends[:-1])):
+            made[i] = x
+    return np.concatenate([np.empty(0, np.int16), *made]), np.r_[0, np.cumsum([len(x) for x in made], dtype=np.int64)]
+
+
+#: Codecs that are picked from where none is given.
+TELEPHONY = ("mulaw", "alaw", "ima")
+
+
+def store_audio(rows: DataFrame, payload: str, codec: str | None = None, rate: int = RATE, target: int = 2 * RATE, key: str = "doc_id") -> DataFrame:
     """key, n_bytes, media and pcm for each row.
 
     ``payload`` (binary or string; null: empty) holds coded bytes. They are filled up with zero
     bytes to a positive multiple of 64, stored unchanged in a WAV file
     (``media``), decoded from it, resampled, and stored as 16-bit PCM (``pcm``).
-    ``n_bytes`` is the size before filling.
+    ``n_bytes`` is the size before filling. Without a ``codec``, each row's is
+    picked from TELEPHONY by the CRC-32 of its payload.
     """
     tune(rows.sparkSession)
     rows = rows.select(F.col(key).alias("doc_id"), F.col(payload).cast("binary").alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "payload"):
-            sizes, media, pcm = [], [], []
+            sizes, media = [], []
             for raw in batch.column("payload").to_pylist():
                 raw = raw or b""
                 sizes.append(len(raw))
-                file = wav(raw + b"\0" * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw)), codec, rate)
-                media.append(file)
-                pcm.append(resample(decode(file), rate, target).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(pcm, pa.binary())], ["doc_id", "n_bytes", "media", "pcm"])
+                full = raw + b"\0" * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw))
+                media.append(wav(full, codec or TELEPHONY[zlib.crc32(full) % len(TELEPHONY)], rate))
+            pcm, bounds = resample_all(*decode_all(media), rate, target)
+            stored = pa.Array.from_buffers(pa.binary(), len(media), [None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(pcm.astype("<i2"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), stored], ["doc_id", "n_bytes", "media", "pcm"])
 
     return rows.mapInArrow(run, f"doc_id {kind(rows, 'doc_id')}, n_bytes long, media binary, pcm binary")
 
@@ -154,17 +192,17 @@ def store_audio(rows: DataFrame, payload: str, codec: str = "mulaw", rate: int =
 def audio_digest(stored: DataFrame) -> DataFrame:
     """What the stored bytes of :func:`store_audio` hold, and features of the stored samples.
 
-    ``feature`` is samples:peak:mean absolute value:changes of sign, in whole numbers.
+    ``feature`` is samples:peak:mean absolute value:changes of sign:format tag, in whole numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "pcm", 4 << 20):
             out = []
             for media, pcm in zip(batch.column("media").to_pylist(), batch.column("pcm").to_pylist()):
-                payload = unwav(media)[3]
+                tag, _, _, payload = unwav(media)
                 x = np.frombuffer(pcm, "<i2").astype(np.int32)
                 size, up = np.abs(x), x >= 0
-                feature = f"{len(x)}:{size.max(initial=0)}:{int(size.sum()) // max(1, len(x))}:{int(np.count_nonzero(up[1:] != up[:-1]))}"
+                feature = f"{len(x)}:{size.max(initial=0)}:{int(size.sum()) // max(1, len(x))}:{int(np.count_nonzero(up[1:] != up[:-1]))}:{tag}"
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             made = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
