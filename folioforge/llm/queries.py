@@ -53,12 +53,20 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
-def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are labelled by the quality of the document with their number."""
+def url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url and bad: a page is bad if a listed rule blocks it, or the document with its number is labelled as of low quality.
+
+    So rules that are mined carry what the listed ones know over to hosts and paths that these don't name.
+    """
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
-    mined = urls.mine(pages.join(labels, "page_id"))
-    return urls.judge(pages, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict")
+    low = _table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("page_id")).distinct().withColumn("low", F.lit(True))
+    listed = urls.judge(pages, URL_RULES, None).join(low, "page_id", "left")
+    return listed.select("page_id", "url", ((F.col("verdict") == "block") | F.coalesce("low", F.lit(False))).alias("bad"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = urls.mine(url_labels(spark, sf_dir))
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

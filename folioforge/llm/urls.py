@@ -22,6 +22,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MOST = 20_000
 CONFIDENCE = 0.6
 #: Labelled urls that a rule must rest on at least: fewer can agree by chance. No share of the sample is asked for besides.
@@ -71,6 +73,8 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", most: int = MO
     rows = labelled.filter(F.col(url).isNotNull() & F.col(bad).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.max(F.col(bad).cast("int")).alias("bad"))
     rows = rows.orderBy(F.xxhash64("url"), "url").limit(most)
     items = rows.select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).filter(F.size("items") > 0)
+    # At most ``most`` rows, which FP-growth reads several times.
+    items = materialize(items)
     n = items.count()
     if n < least:
         return None
@@ -78,6 +82,7 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", most: int = MO
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.col("antecedent").alias("tokens"), "confidence", "support")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     one = rules.withColumn("token", F.explode("tokens")).join(single, "token").groupBy("tokens", "confidence", "support").agg(F.min(F.struct("freq", "token"))["token"].alias("token"))
+    one = materialize(one)
     return None if one.isEmpty() else one
 
 
