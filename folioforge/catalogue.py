@@ -451,3 +451,7 @@ def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge_base(spark, sf_dir)
+
+
+# The queries of readers, recognition, packages and streams add themselves.
+from . import file_catalogue  # noqa: E402, F401

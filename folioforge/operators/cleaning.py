@@ -37,16 +37,24 @@ def clean_artifacts(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(lines(F.coalesce(text, F.lit(""))), stamped), keep), "\n")
 
 
+#: Rules that one test guards.
+GROUP = 20
+
+
 def correct_terms(df: DataFrame, text: str, out: str | None = None) -> DataFrame:
     """Ordered corrections of misread terms.
 
-    A text in which no rule's pattern occurs can't change, so only the others go
-    through the chain of rules; both parts are united again.
+    The rules come in groups. A text in which no pattern of a group occurs can't be
+    changed by it, so the others alone go through its rules. Each group's result is a
+    column, so it is worked out once.
     """
     out, rules = out or text, corrections()
-    some = F.col(text).rlike("(?U)" + "|".join(f"(?:{p.removeprefix('(?U)')})" for p, _ in rules))
-    same = df.filter(~F.coalesce(some, F.lit(False))).withColumn(out, F.coalesce(F.col(text), F.lit("")))
-    return same.unionByName(df.filter(some).withColumn(out, replace_all(F.col(text), rules)))
+    d = df.withColumn(out, F.coalesce(F.col(text), F.lit("")))
+    for at in range(0, len(rules), GROUP):
+        group = rules[at : at + GROUP]
+        some = F.col(out).rlike("(?U)" + "|".join(f"(?:{p.removeprefix('(?U)')})" for p, _ in group))
+        d = d.withColumn(out, F.when(some, replace_all(F.col(out), group)).otherwise(F.col(out)))
+    return d
 
 
 def process_recognised(df: DataFrame, text: str, out: str | None = None) -> DataFrame:

@@ -53,6 +53,7 @@ def _date() -> Column:
 
 
 # The wording of the artifacts.
+KB_NAME = "VNPT-AI-Knowledge-Base"
 INDEX_GUIDE = """# MASTER INDEX
 
 ## Hướng dẫn sử dụng
@@ -128,10 +129,14 @@ def index_rows(docs: DataFrame) -> DataFrame:
     return named(docs).select("filename", "ordinal", row.alias("row"), whole.alias("tree"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``idx``: the place of a document in the index. One text of all documents is made of it: the window is no wider than that."""
+    return docs.withColumn("idx", F.row_number().over(Window.orderBy("ordinal")))
+
+
 def master_index(docs: DataFrame, generated_at: str) -> DataFrame:
     """One row ``content``; none if fewer than two documents are ready."""
-    # One text of all documents: the window is no wider than the aggregation below it.
-    rows = index_rows(bucketed(docs).filter("bucket = 'ready'").withColumn("idx", F.row_number().over(Window.orderBy("ordinal"))))
+    rows = index_rows(numbered(bucketed(docs).filter("bucket = 'ready'")))
     found = rows.agg(F.count("*").alias("n"), _ordered(F.col("row")).alias("rows"), _ordered(F.col("tree")).alias("trees"))
     head = F.concat(F.lit(f'---\nknowledge_base_schema: "1.0"\ngenerated_at: "{generated_at}"\ndocument_count: '), F.col("n").cast("string"), F.lit("\n---\n\n" + INDEX_GUIDE))
     return found.filter("n >= 2").select(F.rtrim(F.regexp_replace(F.concat(head, F.col("rows"), F.lit(INDEX_TREES), F.col("trees")), r"\s+$", "")).alias("content"))
@@ -152,7 +157,7 @@ def manifest_items(docs: DataFrame) -> DataFrame:
     return named(bucketed(docs).filter("bucket <> 'unvalidated'")).select("filename", "ordinal", "bucket", F.when(F.col("bucket") == "ready", F.to_json(ready, {"ignoreNullFields": "false"})).otherwise(F.to_json(failed, {"ignoreNullFields": "false"})).alias("item"))
 
 
-def manifest(docs: DataFrame, generated_at: str, kb_name: str = "AI-Knowledge-Base") -> DataFrame:
+def manifest(docs: DataFrame, generated_at: str, kb_name: str = KB_NAME) -> DataFrame:
     """One row ``content``: the manifest as JSON."""
     of = lambda b: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.struct("ordinal", "item")))), lambda x: x["item"]), ","), F.lit("]"))
     found = manifest_items(docs).agg(F.count("*").alias("n"), F.count_if(F.col("bucket") == "ready").alias("ready"), of("ready").alias("documents"), of("failed").alias("failed"))
@@ -208,7 +213,7 @@ def readme(total: int, ready: int, failed: int) -> str:
     return README.format(mode=mode, total=total, ready=ready, failed=note, upload=upload)
 
 
-def entries(docs: DataFrame, files: DataFrame, generated_at: str, kb_name: str = "AI-Knowledge-Base") -> DataFrame:
+def entries(docs: DataFrame, files: DataFrame, generated_at: str, kb_name: str = KB_NAME) -> DataFrame:
     """path and content (binary) of every file of a package; ``files`` has filename and content of the sources."""
     spark, d = docs.sparkSession, named(bucketed(docs))
     body = d.filter("bucket <> 'unvalidated'").select(F.concat(F.when(F.col("bucket") == "ready", "upload_to_ai/").otherwise("technical/failed/"), F.col("md_name")).alias("path"), F.col("markdown").cast("binary").alias("content"))

@@ -1,8 +1,9 @@
 """Decoders of file contents.
 
-DOCX and XLSX are read with the standard library. PDF, legacy formats and text
+DOCX, XLSX and PDF are read with the standard library. Legacy formats and text
 recognition need programs or libraries that may be absent: they are adapters
-that can be registered; without one, a file gives a row with an ``error``.
+that can be registered; without one, a file gives a row with an ``error``. A DOCX or
+XLSX that can't be read, or an empty DOCX, goes to a generic reader.
 
 Every decoder turns bytes into the same record: kind, own_title, first_heading,
 blocks (kind, style, text, rows) in document order, pages and error.
@@ -10,12 +11,15 @@ blocks (kind, style, text, rows) in document order, pages and error.
 
 from __future__ import annotations
 
+import html
+import importlib.util
 import io
 import posixpath
 import re
 import shutil
 import subprocess
 import tempfile
+import threading
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -24,6 +28,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from . import images, pdf
 from .files import LEGACY
 
 BLOCK = "struct<kind:string,style:string,text:string,rows:array<array<string>>>"
@@ -148,16 +153,70 @@ def pdf_with(open_pages: Callable[[bytes], list[dict]]) -> Callable[[bytes], dic
     return decode
 
 
-def legacy_with_office(content: bytes, ext: str, timeout: int = 120) -> tuple[bytes, str]:
-    """A legacy file converted by an office program, if there is one."""
-    program = shutil.which("soffice") or shutil.which("libreoffice")
-    if not program:
-        raise RuntimeError("no office program to convert legacy files")
+def repaired_pdf(content: bytes) -> tuple[bytes, bool]:
+    """A healthy file as it is; else the last healthy part that begins with a marker, else the file; and whether it was exchanged."""
+    if not pdf.healthy(content):
+        for part in list(pdf_slices(content))[1:]:
+            if pdf.healthy(part):
+                return part, True
+    return content, False
+
+
+def pdf_file(content: bytes) -> dict:
+    """Pages of a PDF file (see ``pdf``), repaired where need be."""
+    part, repaired = repaired_pdf(content)
+    found = pdf_with(pdf.open_pages)(part)
+    return found | {"repaired": found["repaired"] or repaired}
+
+
+def _converted(program: list[str], content: bytes, ext: str, timeout: int) -> bytes:
+    """What a program makes of a file: {in}, {out} and {dir} in its arguments are put in."""
     with tempfile.TemporaryDirectory() as d:
-        source = Path(d, "in" + ext)
+        source, target = Path(d, "in" + ext), Path(d, "in" + ext + "x")
         source.write_bytes(content)
-        subprocess.run([program, "--headless", "--convert-to", ext[1:] + "x", "--outdir", d, str(source)], check=True, timeout=timeout, capture_output=True)
-        return source.with_suffix(ext + "x").read_bytes(), ext + "x"
+        subprocess.run([a.format(**{"in": source, "out": target, "dir": d}) for a in program], check=True, timeout=timeout, capture_output=True)
+        if not (made := target.read_bytes()):
+            raise RuntimeError("empty result")
+        return made
+
+
+def xls_with_reader(content: bytes) -> bytes:
+    """A legacy workbook, read by an installed library, as XLSX with inline text."""
+    sheets = pd.read_excel(io.BytesIO(content), sheet_name=None, header=None)
+    return xlsx_of({name: frame.fillna("").astype(str).values.tolist() for name, frame in sheets.items()})
+
+
+def xlsx_of(sheets: dict[str, list[list[str]]]) -> bytes:
+    """A workbook of text cells."""
+    main, rel, esc = S[1:-1], R[1:-1], html.escape
+    cell = lambda c: f'<c t="inlineStr"><is><t xml:space="preserve">{esc(c)}</t></is></c>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        names = "".join(f'<sheet name="{esc(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        for i, rows in enumerate(sheets.values(), 1):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows) + "</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def legacy_with_office(content: bytes, ext: str, timeout: int = 120) -> tuple[bytes, str]:
+    """A legacy file converted by an office program; failing that, a document by ``textutil``, a workbook by a library."""
+    program = shutil.which("soffice") or shutil.which("libreoffice")
+    routes: list[Callable[[], bytes]] = []
+    if program:
+        routes.append(lambda: _converted([program, "--headless", "--convert-to", ext[1:] + "x", "--outdir", "{dir}", "{in}"], content, ext, timeout))
+    if ext == ".doc" and (other := shutil.which("textutil")):
+        routes.append(lambda: _converted([other, "-convert", "docx", "-output", "{out}", "{in}"], content, ext, timeout))
+    if ext == ".xls":
+        routes.append(lambda: xls_with_reader(content))
+    error = RuntimeError("no office program to convert legacy files")
+    for route in routes:
+        try:
+            return route(), ext + "x"
+        except Exception as e:  # noqa: BLE001  the next route is tried
+            error = e
+    raise error
 
 
 def plain(content: bytes) -> dict:
@@ -165,21 +224,62 @@ def plain(content: bytes) -> dict:
     return record("text", blocks=[{"kind": "paragraph", "style": "verbatim", "text": content.decode("utf-8", "replace"), "rows": None}])
 
 
+def generic(content: bytes) -> dict:
+    """Text of a file by what it holds: an Office file part by part (broken XML too), or text without control bytes; raises on other content."""
+    if content.startswith(b"PK"):
+        said = lambda tag, raw: html.unescape("".join(re.findall(rf"<(?:\w+:)?{tag}(?:\s[^>]*)?>([^<]*)</", raw)))
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            read = lambda name: z.read(name).decode("utf-8", "replace")
+            names = sorted(z.namelist(), key=lambda n: (len(n), n))
+            shared = [said("t", x) for n in names if n == "xl/sharedStrings.xml" for x in re.findall(r"<si>(.*?)</si>", read(n), re.S)]
+            blocks = []
+            for n in names:
+                if n == "word/document.xml":
+                    lines = [t for p in re.split(r"</w:p>", read(n)) if (t := said("t", p).strip())]
+                    blocks += [{"kind": "paragraph", "style": "", "text": t, "rows": None} for t in lines]
+                elif n.startswith("xl/worksheets/"):
+                    rows = []
+                    for r in re.findall(r"<row[^>]*>(.*?)</row>", read(n), re.S):
+                        rows.append([])
+                        for head, cell in re.findall(r"<c\b([^>]*)>(.*?)</c>", r, re.S):
+                            value = said("v", cell)
+                            at_shared = 't="s"' in head and value.isdigit() and int(value) < len(shared)
+                            rows[-1].append(shared[int(value)] if at_shared else value or said("t", cell))
+                    width = max(map(len, rows), default=0)
+                    blocks.append({"kind": "sheet", "style": "", "text": Path(n).stem, "rows": [r + [""] * (width - len(r)) for r in rows]})
+        return record("xlsx" if blocks and blocks[0]["kind"] == "sheet" else "docx", blocks=blocks)
+    text = content.decode("utf-8")
+    if re.search(r"[\x00-\x08\x0E-\x1F]", text):
+        raise ValueError("no text")
+    return plain(content)
+
+
 def _absent(content: bytes) -> dict:
     raise RuntimeError("no decoder for this format is installed")
 
 
 #: Decoder of each suffix; register others by adding to it or passing ``decoders``.
-DECODERS: dict[str, Callable[[bytes], dict]] = {".docx": docx, ".xlsx": xlsx, ".pdf": _absent}
+DECODERS: dict[str, Callable[[bytes], dict]] = {".docx": docx, ".xlsx": xlsx, ".pdf": pdf_file}
+# The notes of files that went to the generic reader.
+FALLBACK = {".docx": "DOCX native parser warning: {}; Using MarkItDown fallback.", ".xlsx": "Excel parser warning: {}"}
 
 
-def decode_one(filename: str, content: bytes, decoders: dict[str, Callable[[bytes], dict]], legacy: Callable[[bytes, str], tuple[bytes, str]]) -> dict:
+def decode_one(filename: str, content: bytes, decoders: dict[str, Callable[[bytes], dict]], legacy: Callable[[bytes, str], tuple[bytes, str]], fallback: Callable[[bytes], dict] = generic) -> dict:
     ext, via = Path(filename).suffix.lower(), False
     try:
         if ext in LEGACY:
             content, ext = legacy(content, ext)
             via = True
-        return decoders[ext](content) | {"converted_via_legacy": via}
+        if ext in FALLBACK:
+            try:
+                found = decoders[ext](content)
+                if ext == ".docx" and not found["blocks"]:
+                    found = fallback(content)
+            except Exception as e:  # noqa: BLE001  the generic reader is next
+                found = fallback(content) | {"error": FALLBACK[ext].format(str(e) or type(e).__name__)}
+        else:
+            found = decoders.get(ext, fallback)(content)
+        return found | {"converted_via_legacy": via}
     except Exception as e:  # noqa: BLE001  a file that can't be read is a row with an error
         return record(ext.lstrip("."), error=str(e) or type(e).__name__)
 
@@ -215,13 +315,74 @@ def parse_words(tsv: str) -> tuple[str, float]:
 
 
 def tesseract_program(image: bytes, lang: str = "vie+eng", psm: int = 3, oem: int = 1, timeout: int = 60) -> tuple[str, float]:
-    """Text recognition by the command-line program, in one call for text and confidence."""
+    """Text recognition by the command-line program, of the upright image without marks, in one call for text and confidence."""
     args = ["tesseract", "stdin", "stdout", "-l", lang, "--psm", str(psm), "--oem", str(oem), "tsv"]
-    return parse_words(subprocess.run(args, input=image, check=True, timeout=timeout, capture_output=True).stdout.decode("utf-8", "replace"))
+    ready = images.without_marks(images.upright(image))
+    return parse_words(subprocess.run(args, input=ready, check=True, timeout=timeout, capture_output=True).stdout.decode("utf-8", "replace"))
+
+
+def parse_boxes(result) -> tuple[str, float]:
+    """Text in reading order and mean confidence from recognised boxes, as dictionaries (a newer form) or nested lists (an older one).
+
+    Blank texts are left out; a box of a dictionary with fewer than four numbers counts as (0, 0).
+    """
+    items: list[tuple[float, float, str, float]] = []
+    if isinstance(result, list) and result and isinstance(result[0], dict):
+        for page in result:
+            boxes = page.get("rec_boxes", [])
+            for i, (text, score) in enumerate(zip(page.get("rec_texts", []), page.get("rec_scores", []))):
+                x, y = (float(boxes[i][0]), float(boxes[i][1])) if i < len(boxes) and len(boxes[i]) >= 4 else (0.0, 0.0)
+                items.append((y, x, str(text).strip(), float(score)))
+    elif isinstance(result, list) and result and isinstance(result[0], list):
+        for line in result[0]:
+            if line and len(line) > 1 and isinstance(line[1], (tuple, list)) and len(line[1]) > 1:
+                x, y = (float(line[0][0][0]), float(line[0][0][1])) if line[0] else (0.0, 0.0)
+                items.append((y, x, str(line[1][0]).strip(), float(line[1][1])))
+    items = sorted((i for i in items if i[2]), key=lambda i: (round(i[0] / LINE) * LINE, i[1]))
+    if not items:
+        return "", 1.0
+    return "\n".join(i[2] for i in items), round(sum(i[3] for i in items) / len(items), 2)
+
+
+#: Height of a line of recognised boxes.
+LINE = 14
+_engines: dict[str, object] = {}
+_lock = threading.Lock()
+
+
+class Lazy:
+    """An engine that each worker process starts once, when it is first asked; a pickled one takes none along.
+
+    ``read`` turns the started engine and an image into text and confidence.
+    """
+
+    def __init__(self, name: str, start: Callable[[], object], read: Callable[[object, bytes], tuple[str, float]]):
+        self.name, self.start, self.read = name, start, read
+
+    def __call__(self, image: bytes) -> tuple[str, float]:
+        if self.name not in _engines:
+            with _lock:
+                if self.name not in _engines:
+                    _engines[self.name] = self.start()
+        return self.read(_engines[self.name], image)
+
+
+def _start_paddle():
+    from paddleocr import PaddleOCR
+
+    return PaddleOCR(use_doc_unwarping=False, use_textline_orientation=True, lang="vi")
+
+
+def _read_paddle(started, image: bytes) -> tuple[str, float]:
+    samples = images.read_png(image)
+    samples = samples.repeat(3, 2) if samples.shape[2] == 1 else samples[:, :, :3]
+    return parse_boxes(started.predict(samples) if hasattr(started, "predict") else started.ocr(samples))
 
 
 #: Text recognition by name: image bytes to text and confidence (0 to 1).
 ENGINES: dict[str, Callable[[bytes], tuple[str, float]]] = {"tesseract": tesseract_program} if shutil.which("tesseract") else {}
+if importlib.util.find_spec("paddleocr"):
+    ENGINES["paddleocr"] = Lazy("paddleocr", _start_paddle, _read_paddle)
 
 
 def engine(name: str, engines: dict | None = None, default: str = "tesseract") -> Callable[[bytes], tuple[str, float]] | None:

@@ -132,7 +132,7 @@ def test_scan_gate_and_registry(spark, tmp_path):
     status = spark.createDataFrame([("<a>", 2)], "current_state string, n long")
     assert "&lt;a&gt;</td><td>2" in files.status_html(status).first().html
     assert json.loads(files.status_json(status).first().json) == {"registry_available": True, "states": {"<a>": 2}, "document_contents_exposed": False}
-    assert decoders.capabilities(spark).first().formats == [".docx", ".xlsx"]
+    assert decoders.capabilities(spark).first().formats == [".docx", ".pdf", ".xlsx"]
     assert decoders.engine(" Paddle ", {"paddleocr": 1, "tesseract": 2}) == 1 and decoders.engine("other", {"tesseract": 2}) == 2
 
 
