@@ -90,6 +90,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
+
+
+# What SQL can express of the queries above, by the same operators, as queries of their own.
+
+
+def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op3_secrets; the model adds spans of its own kind only."""
+    return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target", ((F.col("taken") >= 0) & (F.col("taken") <= 2 * F.col("size"))).alias("bounded"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_url_filter that listed rules decide."""
+    return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("listed"))
+
+
+def audio_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+QUERIES |= {"secret_patterns": secret_patterns, "mix_targets": mix_targets, "url_rules": url_rules, "audio_payloads": audio_payloads}
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS1 = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -140,4 +165,46 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM turns GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op2_substrings": _OP2, "op7_chat_format": _OP7}
+_QUOTED = {kind: pattern.replace("'", "''") for kind, pattern in (("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", secrets.HEX))}
+_MATCHES = " UNION ALL ".join(
+    f"SELECT r, {i} AS k, '{kind}' AS kind, string_split_regex(t, '{p}') AS pieces, regexp_extract_all(t, '{p}') AS found FROM docs WHERE regexp_matches(t, '{p}')" for i, (kind, p) in enumerate(_QUOTED.items())
+)
+_SECRETS = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS ({_MATCHES}),
+each AS (SELECT r, k, kind, found[i] AS m, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS s FROM parts, unnest(range(1, len(found) + 1)) AS t(i)),
+kept AS (SELECT *, CAST(s AS BIGINT) AS a, CAST(s + length(m) AS BIGINT) AS b FROM each WHERE kind <> 'assign' OR length(regexp_extract(m, '{_QUOTED["assign"]}', 2)) >= 6),
+named AS (SELECT r, count_if(k = 0) AS n0, count_if(k = 1) AS n1, count_if(k = 2) AS n2, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS said FROM kept GROUP BY r)
+SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(said, '')) AS base_sha256 FROM docs LEFT JOIN named USING (r)
+"""
+
+# Capped sources are those with the least room for their weight; the others share what is left.
+_TARGETS = r"""
+WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM docs GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM per),
+ranked AS (SELECT *, 2.0::DOUBLE * n / w AS room, row_number() OVER (ORDER BY 2.0::DOUBLE * n / w, source NULLS LAST) AS i FROM weighed),
+cuts AS (SELECT a.i, coalesce((SELECT sum(n) FROM ranked b WHERE b.i < a.i), 0) AS taken, (SELECT sum(w) FROM ranked b WHERE b.i >= a.i) AS weight, room FROM ranked a),
+cut AS (SELECT *, (1.5::DOUBLE * (SELECT sum(n) FROM per) - 2 * taken) AS rest FROM cuts WHERE (1.5::DOUBLE * (SELECT sum(n) FROM per) - 2 * taken) / weight <= room ORDER BY i LIMIT 1),
+goals AS (SELECT source, n, CASE WHEN cut.i IS NOT NULL AND ranked.i >= cut.i THEN cut.rest * w / cut.weight ELSE 2.0::DOUBLE * n END AS target FROM ranked LEFT JOIN cut ON true)
+SELECT doc_id, size, n AS source_size, CAST(target AS DOUBLE) AS target, true AS bounded FROM docs JOIN goals ON docs.source IS NOT DISTINCT FROM goals.source
+"""
+
+_FITS = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{i}}}" for i, (_, h, p) in enumerate(sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r))))
+_BY_LENGTH = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r))
+_URLS = f"""
+WITH after AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages),
+parts AS (SELECT page_id, {_LOWER.format("regexp_extract(u, '^[^/?#]*')")} AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM after)
+SELECT page_id, host, path, CASE {_FITS.format(*(f"'{h}{p}'" for _, h, p in _BY_LENGTH))} END AS rule, CASE {_FITS.format(*(f"'{v}'" for v, _, _ in _BY_LENGTH))} END AS listed FROM parts
+"""
+
+_PAYLOADS = """
+WITH raw AS (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+full_ AS (SELECT *, greatest(64, (n + 63) // 64 * 64) AS m FROM raw)
+SELECT doc_id, n AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(t || repeat(chr(0), CAST(m - n AS INT))) AS payload_sha256 FROM full_
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": _OP1, "op2_substrings": _OP2, "op7_chat_format": _OP7,
+    "secret_patterns": _SECRETS, "mix_targets": _TARGETS, "url_rules": _URLS, "audio_payloads": _PAYLOADS,
+}
