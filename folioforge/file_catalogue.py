@@ -387,6 +387,43 @@ def index_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package.index_rows(package.numbered(docs)).select("ordinal", "row")
 
 
+_ITEM_HEAD = """'{"document_id":"DOC-' || doc_id || '","source_file":"doc ' || doc_id || '.docx","markdown_file":"upload_to_ai/doc ' || doc_id || '.md","sha256":"' || sha256(text) || '","title":"' || lang || '","document_type":"BC","version":"1.0","status":"","issued_date":"","effective_date":"2024-02-03","page_count":1,"word_count":' || words || ',"character_count":' || length(text) || ',"retention_ratio":' || ratio || ',"validation_status":"' || status || '","is_safe_for_ai":true,"sections":[]}'"""
+_FAILED_ITEM = """'{"source_file":"doc ' || doc_id || '.docx","markdown_file":"technical/failed/doc ' || doc_id || '.md","sha256":"' || sha256(text) || '","validation_status":"FAIL","is_safe_for_ai":false,"errors":["' || array_to_string(list_concat(CASE WHEN filled THEN [] ELSE ['Tài liệu không có nội dung văn bản sau khi chuyển đổi.'] END,
+  CASE WHEN lang IS NULL THEN ['Thiếu thông tin source_file hoặc title trong metadata.'] ELSE [] END, CASE WHEN ratio < 0.75 THEN ['FAILED: Tỷ lệ ký tự quá thấp (' || CAST(trunc(ratio * 100) AS INT) || '%), cần kiểm tra thủ công.'] ELSE [] END), '","') || '"]}'"""
+
+
+@query(rf"""WITH {_GATED}, w AS (SELECT *, len(regexp_extract_all(regexp_replace(text, '[#*`_~\[\]()><!|]', ' ', 'g'), '\S+')) AS words FROM gated),
+items AS (SELECT CASE WHEN status = 'FAIL' THEN 3 ELSE 1 END AS place, doc_id, CASE WHEN status = 'FAIL' THEN {_FAILED_ITEM} ELSE {_ITEM_HEAD} END AS item FROM w),
+n AS (SELECT count_if(place = 1) AS ready, count_if(place = 3) AS failed FROM items)
+SELECT place, CAST(doc_id AS BIGINT) AS ordinal, CASE WHEN row_number() OVER (PARTITION BY place ORDER BY doc_id) = 1 THEN '' ELSE ',' END || item AS line FROM items
+UNION ALL SELECT 0, NULL, '{{"schema_version":"1.0","knowledge_base":"VNPT-AI-Knowledge-Base","generated_at":"2024-01-01T00:00:00","total_documents":' || (ready + failed) || ',"ready_for_ai_count":' || ready || ',"failed_count":' || failed || ',"documents":[' FROM n
+UNION ALL SELECT 2, NULL, '],"failed_documents":[' UNION ALL SELECT 4, NULL, ']}}'""")
+def manifest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, line by line."""
+    return package.manifest_lines(gated_documents(spark, sf_dir), "2024-01-01T00:00:00")
+
+
+@query(f"""WITH {_GATED}, r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS n, coalesce(nullif(lang, ''), 'doc ' || doc_id || '.docx') AS title, sha256(text) AS h FROM gated WHERE status <> 'FAIL'),
+lines AS (SELECT 1 AS place, doc_id, '| **DOC-' || doc_id || '** | ' || title || ' | BC | 1.0 |  | 2024-02-03 | [`doc ' || doc_id || '.md`](doc ' || doc_id || '.md) |' AS line FROM r
+UNION ALL SELECT 3, doc_id, '### DOC-' || doc_id || ' — ' || title || chr(10) || '**File:** `doc ' || doc_id || '.md`' || chr(10) || '- **Phiên bản:** 1.0' || chr(10) || '- **Ngày ban hành / hiệu lực:** 2024-02-03' || chr(10) || '- **Mã băm SHA-256:** `' || h || '`' || chr(10) || chr(10) || '#### Cấu trúc đề mục:' || chr(10) || '- *(Văn bản liền mạch không chia phân đoạn)*' || chr(10) || chr(10) FROM r)
+SELECT place, doc_id AS ordinal, line FROM lines""")
+def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and trees of the master index, line by line; its fixed wording is left out here."""
+    return package.index_lines(gated_documents(spark, sf_dir), "2024-01-01").filter("place in (1, 3)")
+
+
+_BADGE = "CASE status WHEN 'PASS' THEN '✅ PASS' WHEN 'WARNING' THEN '⚠️ WARNING' ELSE '❌ FAIL' END"
+
+
+@query(f"""WITH {_GATED}, w AS (SELECT *, (NOT headed)::INT + (ratio >= 0.75 AND ratio < 0.9)::INT AS w FROM gated)
+SELECT CASE WHEN status = 'FAIL' THEN 2 ELSE 1 END AS place, doc_id AS ordinal, '| `doc ' || doc_id || '.docx` | ' || {_BADGE} || ' | 1 | 0 | ' || CAST(trunc(ratio * 100) AS INT) || '% | ' || CASE WHEN status = 'FAIL' THEN '`technical/failed/`' ELSE '`upload_to_ai/`' END || ' | ' || CASE WHEN w > 0 THEN 2 * w || ' cảnh báo' ELSE '0' END || ' |' AS line FROM w
+UNION ALL SELECT CASE WHEN status = 'FAIL' THEN 5 ELSE 4 END, doc_id, '### 📋 `doc ' || doc_id || '.docx`' FROM gated""")
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report, line by line; of details their first line."""
+    found = package.report_lines(gated_documents(spark, sf_dir)).filter("ordinal is not null")
+    return found.withColumn("line", F.substring_index("line", "\n", 1))
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_nonempty, stem
+from ..operators.numbering import number_rows
+from ..sources.files import stored
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
@@ -130,8 +132,8 @@ def index_rows(docs: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``idx``: the place of a document in the index. One text of all documents is made of it: the window is no wider than that."""
-    return docs.withColumn("idx", F.row_number().over(Window.orderBy("ordinal")))
+    """``idx``: the place of a document in the index."""
+    return number_rows(docs, "ordinal", out="idx")[0]
 
 
 def master_index(docs: DataFrame, generated_at: str) -> DataFrame:
@@ -165,6 +167,48 @@ def manifest(docs: DataFrame, generated_at: str, kb_name: str = KB_NAME) -> Data
     return found.select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"documents":'), F.col("documents"), F.lit(',"failed_documents":'), F.col("failed"), F.lit("}")).alias("content"))
 
 
+def manifest_lines(docs: DataFrame, generated_at: str, kb_name: str = KB_NAME) -> DataFrame:
+    """place, ordinal, line: the manifest with one line for each document, of any number; in order the lines are its JSON."""
+    items = manifest_items(docs)
+    part = F.when(F.col("bucket") == "ready", 1).otherwise(3)
+    first = items.groupBy(part.alias("place")).agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
+    # Two rows at most.
+    found = {r["place"]: r for r in first.collect()}
+    ready, failed = (found[p]["n"] if p in found else 0 for p in (1, 3))
+    head = json.dumps({"schema_version": "1.0", "knowledge_base": kb_name, "generated_at": generated_at, "total_documents": ready + failed, "ready_for_ai_count": ready, "failed_count": failed}, ensure_ascii=False, separators=(",", ":"))
+    starts = F.lit(False)
+    for p, r in found.items():
+        starts = starts | ((part == p) & (F.col("ordinal") == F.lit(r["first"])))
+    rows = items.select(part.alias("place"), "ordinal", F.concat(F.when(starts, "").otherwise(","), "item").alias("line"))
+    edges = [(0, head[:-1] + ',"documents":['), (2, '],"failed_documents":['), (4, "]}")]
+    frame = docs.sparkSession.createDataFrame(edges, "place int, line string").select("place", F.lit(None).cast(rows.schema["ordinal"].dataType).alias("ordinal"), "line")
+    return rows.unionByName(frame)
+
+
+def index_lines(docs: DataFrame, generated_at: str) -> DataFrame:
+    """place, ordinal, line: the master index in lines, for any number of documents; none if fewer than two are ready."""
+    ready = stored(index_rows(numbered(bucketed(docs).filter("bucket = 'ready'"))))
+    n = ready.count()
+    edges = [(0, f'---\nknowledge_base_schema: "1.0"\ngenerated_at: "{generated_at}"\ndocument_count: {n}\n---\n\n{INDEX_GUIDE}'.removesuffix("\n")), (2, INDEX_TREES.removeprefix("\n").removesuffix("\n"))]
+    frame = docs.sparkSession.createDataFrame(edges, "place int, line string").select("place", F.lit(None).cast(ready.schema["ordinal"].dataType).alias("ordinal"), "line")
+    rows = ready.select(F.lit(1).alias("place"), "ordinal", F.col("row").alias("line")).unionByName(ready.select(F.lit(3).alias("place"), "ordinal", F.col("tree").alias("line")))
+    return rows.unionByName(frame) if n >= 2 else rows.limit(0)
+
+
+def report_lines(docs: DataFrame) -> DataFrame:
+    """place, ordinal, line: the report in lines, for any number of documents."""
+    found = report_rows(docs)
+    edges = [(0, REPORT_HEAD.removesuffix("\n")), (3, REPORT_DETAILS.removeprefix("\n").removesuffix("\n"))]
+    frame = docs.sparkSession.createDataFrame(edges, "place int, line string").select("place", F.lit(None).cast(found.schema["ordinal"].dataType).alias("ordinal"), "line")
+    rows = found.select((F.col("part") + 1).alias("place"), "ordinal", F.col("row").alias("line")).unionByName(found.select((F.col("part") + 4).alias("place"), "ordinal", F.col("detail").alias("line")))
+    return rows.unionByName(frame)
+
+
+def write_lines(lines: DataFrame, target: str) -> None:
+    """Lines as text files whose names are in order: end to end they are the artifact."""
+    lines.orderBy("place", "ordinal").select("line").write.mode("overwrite").text(target)
+
+
 def indented(json_rows: DataFrame) -> DataFrame:
     """One-row ``content`` as JSON with indents of two, other letters as they are."""
 

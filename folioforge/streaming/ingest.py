@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import number_rows
 from ..sources.files import gate_files, named_files
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
@@ -23,12 +24,9 @@ def percent(done: Column, total: Column) -> Column:
 
 
 def progress_events(docs: DataFrame) -> DataFrame:
-    """file_start, page_progress and file_done events of documents (filename, ordinal, pages_total), in order.
-
-    The window over all files of one batch numbers them; a batch is one package.
-    """
-    w = Window.orderBy("ordinal")
-    d = docs.select("filename", "pages_total", F.row_number().over(w).alias("file_index"), F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("int").alias("total_files"))
+    """file_start, page_progress and file_done events of documents (filename, ordinal, pages_total), numbered in order."""
+    d, total = number_rows(docs.select("filename", "pages_total", "ordinal"), "ordinal", out="file_index")
+    d = d.select("filename", "pages_total", F.col("file_index").cast("int").alias("file_index"), F.lit(total).cast("int").alias("total_files"))
     i, n = F.col("file_index"), F.col("total_files")
     place = F.concat(F.lit("("), i.cast("string"), F.lit("/"), n.cast("string"), F.lit("): "), F.col("filename"))
     none = F.lit(None).cast("int")
