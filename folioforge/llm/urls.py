@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MOST = 20_000
-CONFIDENCE = 0.6
+CONFIDENCE = 0.8
 #: Labelled urls that a rule must rest on at least: fewer can agree by chance. No share of the sample is asked for besides.
 LEAST = 10
 #: Mined rules up to which they are broadcast.
