@@ -7,10 +7,9 @@ except NFC normalisation, which Spark has no expression for.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,18 +80,15 @@ def unify_breaks(text: Column) -> Column:
 
 
 def normalize_encoding(df: DataFrame, *texts: str) -> DataFrame:
-    """Columns with clean line ends, in NFC. Only rows with a character that composition can touch go through Python."""
+    """Columns with clean line ends, in NFC. Only texts with a character that composition can touch go to Python; for the others it gets nulls."""
     clean = df.withColumns({t: unify_breaks(F.col(t)) for t in texts})
-    other = reduce(lambda a, b: a | b, [F.col(t).rlike(r"[^\x00-\u02ff]") for t in texts])
 
-    def nfc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in texts:
-                made = pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in batch.column(t).to_pylist()], pa.string())
-                batch = batch.set_column(batch.schema.get_field_index(t), t, made)
-            yield batch
+    @F.pandas_udf("string")
+    def nfc(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-    return clean.filter(~other).unionByName(clean.filter(other).mapInArrow(nfc, clean.schema))
+    other = lambda t: F.when(F.col(t).rlike(r"[^\x00-\u02ff]"), F.col(t))
+    return clean.withColumns({t: F.coalesce(nfc(other(t)), F.col(t)) for t in texts})
 
 
 def slugify(text: Column) -> Column:

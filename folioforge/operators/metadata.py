@@ -109,18 +109,27 @@ def document_number(text: Column, filename: Column) -> Column:
     return first_nonempty(named, found, F.when(listed, _standard(F.regexp_extract(rest, NUMBER_IN_TEXT, 1))))
 
 
-def version(filename: Column, text: Column) -> Column:
-    return first_nonempty(F.translate(F.regexp_extract(filename, VERSION_IN_NAME, 1), "_", "."), _extract(_has(_folded(text), "phiên bản", "ver"), text, VERSION_IN_TEXT))
+def version(filename: Column, text: Column, low: Column | None = None) -> Column:
+    return first_nonempty(F.translate(F.regexp_extract(filename, VERSION_IN_NAME, 1), "_", "."), _extract(_has(_low(text, low), "phiên bản", "ver"), text, VERSION_IN_TEXT))
+
+
+def _low(text: Column, low: Column | None) -> Column:
+    """The folded text, which callers of several rules work out once."""
+    return _folded(text) if low is None else low
 
 
 def _iso(text: Column, pattern: str, y: int, m: int, d: int) -> Column:
-    """The date as year, month and day, '' without a match."""
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    return F.when(~text.rlike(pattern), "").otherwise(F.concat(part(y), F.lit("-"), F.lpad(part(m), 2, "0"), F.lit("-"), F.lpad(part(d), 2, "0")))
+    """The date as year, month and day, '' without a match. The text is searched once, its parts are found in the match."""
+
+    def parts(found: Column) -> Column:
+        part = lambda i: F.regexp_extract(found, pattern, i)
+        return F.when(found == "", "").otherwise(F.concat(part(y), F.lit("-"), F.lpad(part(m), 2, "0"), F.lit("-"), F.lpad(part(d), 2, "0")))
+
+    return F.get(F.transform(F.array(F.regexp_extract(text, pattern, 0)), parts), F.lit(0))
 
 
-def issued_date(text: Column, filename: Column) -> Column:
-    low = _folded(text)
+def issued_date(text: Column, filename: Column, low: Column | None = None) -> Column:
+    low = _low(text, low)
     dated = _has(low, "tháng")
     head = F.when(dated, _iso(header(text), DAY_IN_HEADER, 3, 2, 1)).otherwise("")
     name = first_nonempty(_iso(filename, ISO_IN_NAME, 1, 2, 3), _iso(filename, DMY_IN_NAME, 3, 2, 1))
@@ -129,8 +138,8 @@ def issued_date(text: Column, filename: Column) -> Column:
     return first_nonempty(sure, F.when(dated, _iso(text, DAY_IN_TEXT, 3, 2, 1)), F.translate(_extract(_has(low, "ngày", "date"), text, ISSUED), "-.", "//"))
 
 
-def effective_date(text: Column, issued: Column) -> Column:
-    low = _folded(text)
+def effective_date(text: Column, issued: Column, low: Column | None = None) -> Column:
+    low = _low(text, low)
     named = _extract(_has(low, "hiệu lực", "effective"), text, EFFECTIVE)
     return F.when(_has(low, "hiệu lực", "hieu luc") & text.rlike(FROM_SIGNING), issued).otherwise(F.translate(named, "-.", "//"))
 
@@ -140,8 +149,8 @@ def status(text: Column) -> Column:
     return reduce(lambda c, x: c.when(head.contains(x[0]), x[1]), STATUSES[1:], F.when(head.contains(STATUSES[0][0]), STATUSES[0][1])).otherwise("")
 
 
-def unit(text: Column, number: Column) -> Column:
-    said = _extract(_has(_folded(text), "theo đề nghị"), F.left(text, F.lit(3000)), PROPOSED)
+def unit(text: Column, number: Column, low: Column | None = None) -> Column:
+    said = _extract(_has(_low(text, low), "theo đề nghị"), F.left(text, F.lit(3000)), PROPOSED)
     named = strip(said)
     named = F.when(named.contains("Ban ") | named.startswith("Tổng"), named).otherwise(F.concat(F.lit("Ban "), named))
     listed = reduce(lambda c, x: c.when(F.upper(number).contains(x[0]), x[1]), UNITS[1:], F.when(F.upper(number).contains(UNITS[0][0]), UNITS[0][1])).otherwise("")
@@ -211,16 +220,17 @@ def with_metadata(df: DataFrame, filename: str, markdown: str, source: str, sha2
     """
     c, name = F.col, F.col(filename)
     d = df.withColumn("__pages", pages if isinstance(pages, Column) else c(pages)).withColumn("__text", first_nonempty(c(source), c(markdown)))
-    d = d.withColumns({"__number": document_number(c("__text"), name), "__issued": issued_date(c("__text"), name), "__md": F.length(markdown), "__src": F.length(source)})
+    d = d.withColumn("__low", _folded(c("__text")))
+    d = d.withColumns({"__number": document_number(c("__text"), name), "__issued": issued_date(c("__text"), name, c("__low")), "__md": F.length(markdown), "__src": F.length(source)})
     d = d.withColumn("__src", F.when(c("__src") > 0, c("__src")).otherwise(c("__md")))
     values = {
         "document_id": document_id(name), "source_file": name, "title": title(name, c(markdown), own_title, first_heading), "document_type": document_type(name, c("__text")),
-        "organization": F.lit(organization), "unit": unit(c("__text"), c("__number")), "version": version(name, c("__text")), "document_status": status(c("__text")), "document_number": c("__number"),
-        "issued_date": c("__issued"), "effective_date": effective_date(c("__text"), c("__issued")), "supersedes": F.lit(""), "superseded_by": F.lit(""), "scope": scope(c("__text"), c("__number")),
+        "organization": F.lit(organization), "unit": unit(c("__text"), c("__number"), c("__low")), "version": version(name, c("__text"), c("__low")), "document_status": status(c("__text")), "document_number": c("__number"),
+        "issued_date": c("__issued"), "effective_date": effective_date(c("__text"), c("__issued"), c("__low")), "supersedes": F.lit(""), "superseded_by": F.lit(""), "scope": scope(c("__text"), c("__number")),
         "language": F.lit(language), "conversion_date": F.lit(conversion_date), "converter_version": F.lit(converter_version), "source_sha256": c(sha256),
         "page_count": F.greatest(F.lit(1), c("__pages")).cast("int"), "source_text_char_count": c("__src"), "markdown_text_char_count": c("__md"), "text_retention_ratio": retention(c("__md"), c("__src")),
     }
-    d = d.withColumns({prefix + k: v for k, v in values.items()}).drop("__pages", "__text", "__number", "__issued", "__md", "__src")
+    d = d.withColumns({prefix + k: v for k, v in values.items()}).drop("__pages", "__text", "__low", "__number", "__issued", "__md", "__src")
     return d, {k: F.col(prefix + k) for k in KEYS}
 
 
