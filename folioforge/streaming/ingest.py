@@ -78,16 +78,21 @@ def stream_status(events: DataFrame, state: str) -> DataFrame:
     return events.groupBy(F.col(state).alias("current_state")).agg(F.count("*").alias("n"))
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with a watermark, which needs times with a zone: others are taken in that of the session. A table is left as it is."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def windowed_status(events: DataFrame, state: str, time: str, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Counts by state and time window, which slides if ``slide`` is given; rows later than ``late`` are left to the watermark."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width, slide), F.col(state).alias("current_state")).agg(F.count("*").alias("n"))
+    return _timed(events, time, late).groupBy(F.window(time, width, slide), F.col(state).alias("current_state")).agg(F.count("*").alias("n"))
 
 
 def session_status(events: DataFrame, state: str, time: str, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts by state and session: runs of events with less than ``gap`` between each two."""
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("session"), F.col(state).alias("current_state")).agg(F.count("*").alias("n"))
+    return _timed(events, time, late).groupBy(F.session_window(time, gap).alias("session"), F.col(state).alias("current_state")).agg(F.count("*").alias("n"))
 
 
 def deduplicated(events: DataFrame, time: str, *keys: str, late: str = "10 minutes") -> DataFrame:
     """Events whose keys have not come before; a stream remembers keys for as long as the watermark."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
+    return _timed(events, time, late).dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
