@@ -7,6 +7,7 @@ read back by the readers; the SQL says what must come out of them.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import numpy as np
@@ -307,6 +308,37 @@ def scope_and_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("o_orderkey", metadata.scope(text, number).alias("scope"), metadata.status(words).alias("status"))
 
 
+_TYPED = [
+    ("thiết kế tổng thể", "HLD"), ("low-level design", "LLD"), ("quy trình", "PRO"), ("quyết định", "QĐ"), ("quy chuẩn", "QC"), ("thông tư", "TT"), ("báo cáo", "BC"), ("phụ lục", "PL"), ("hướng dẫn", "HD"), ("thông báo", "TB"),
+    ("công văn", "CV"), ("quy định về", "QD"), ("user manual", "UM"), ("v/v họp", "CV"), ("khác", ""), ("thông báo quy chế", "QC"),
+]
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % {len(_TYPED)} " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(_TYPED)) + " END AS type FROM orders")
+def document_type_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document type, from the text."""
+    said = F.element_at(F.array(*[F.lit(f"{t} số 1") for t, _ in _TYPED]), (F.col("o_orderkey") % len(_TYPED) + 1).cast("int"))
+    return _orders(spark, sf_dir).select("o_orderkey", metadata.document_type(F.lit("x.pdf"), said).alias("type"))
+
+
+#: What correction rules of plain words look for.
+_MISREAD = [x for p, _ in cleaning.corrections() if re.fullmatch(r"[\w\s,./-]+", x := p.removeprefix("(?U)").replace(r"\b", ""))]
+
+
+def _put_right(text: str) -> str:
+    """All rules in order, by another engine of patterns."""
+    for p, r in cleaning.corrections():
+        text = re.sub(p.removeprefix("(?U)"), lambda m, r=r: r.replace("\\$", "$").replace("\\\\", "\\"), text)
+    return text
+
+
+@query("SELECT o_orderkey, [" + ", ".join(f"'{_put_right(x)}'" for x in _MISREAD) + f"][CAST(o_orderkey % {len(_MISREAD)} + 1 AS INT)] AS text FROM orders")
+def term_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every correction rule of plain words makes of them, with the rules that follow."""
+    said = F.element_at(F.array(*map(F.lit, _MISREAD)), (F.col("o_orderkey") % len(_MISREAD) + 1).cast("int"))
+    return cleaning.correct_terms(_orders(spark, sf_dir).select("o_orderkey", said.alias("text")), "text")
+
+
 # --- gate ----------------------------------------------------------------------------------------------------------
 
 
