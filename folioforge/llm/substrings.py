@@ -47,6 +47,8 @@ from .decontam import winnow
 from .fmindex import FMIndex, matching_intervals
 
 LENGTH, GRAM, CROWD, BLOCK_WORDS = 35, 12, 8_000, 100_000
+#: The most segments that are broadcast because they occur so often.
+HOT_SEGS = 10_000
 
 
 def segments(words: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -212,7 +214,11 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
         twice = materialize(windows.groupBy("window").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("n")).filter("n > 1").select("window"))
         hit = windows.filter("single").join(twice, "window", "left_semi").select("h", F.col("begin").alias("start"), (F.col("begin") + length).alias("end"))
         found = found.unionByName(hit)
-    many = cut.join(segs.filter("m > 1").select("gram", "seg"), ["gram", "seg"], "left_semi")
+    # No more than HOT_SEGS segments can make up one in HOT_SEGS of all each: these are broadcast, the others joined.
+    named, often = ["gram", "seg"], segs.filter("m > 1")
+    total = often.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    hot = F.broadcast(materialize(often.filter(F.col("m") > total / HOT_SEGS).select(named)))
+    many = cut.join(hot, named, "left_semi").unionByName(cut.join(hot, named, "left_anti").join(often.join(hot, named, "left_anti").select(named), named, "left_semi"))
     many = many.filter("m = 1").select("h", F.col("begin").alias("start"), (F.col("begin") + F.col("size") + (length - 1)).alias("end"))
     cover = materialize(found.unionByName(many).groupBy("h").agg(F.collect_list(F.struct("start", "end")).alias("cover")))
     left = texts.join(cover, "h", "left").select("h", "text", "m", "cover").mapInArrow(lambda b: _drop(b, length), "h binary, n_words long, n_removed long, kept string")
