@@ -113,7 +113,7 @@ def audio_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
-QUERIES |= {"secret_patterns": secret_patterns, "mix_targets": mix_targets, "url_rules": url_rules, "audio_payloads": audio_payloads}
+PARTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"secret_patterns": secret_patterns, "mix_targets": mix_targets, "url_rules": url_rules, "audio_payloads": audio_payloads}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS1 = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -204,7 +204,5 @@ full_ AS (SELECT *, greatest(64, (n + 63) // 64 * 64) AS m FROM raw)
 SELECT doc_id, n AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(t || repeat(chr(0), CAST(m - n AS INT))) AS payload_sha256 FROM full_
 """
 
-ORACLES: dict[str, str] = {
-    "op1_decontamination": _OP1, "op2_substrings": _OP2, "op7_chat_format": _OP7,
-    "secret_patterns": _SECRETS, "mix_targets": _TARGETS, "url_rules": _URLS, "audio_payloads": _PAYLOADS,
-}
+ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op2_substrings": _OP2, "op7_chat_format": _OP7}
+PART_ORACLES: dict[str, str] = {"secret_patterns": _SECRETS, "mix_targets": _TARGETS, "url_rules": _URLS, "audio_payloads": _PAYLOADS}
