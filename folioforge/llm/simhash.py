@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, steps, tune, wider
+from .forests import forest
 from .graph import components
 from .similar import keep_one  # noqa: F401
 
@@ -101,24 +102,6 @@ def chains_hold(diff: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(turned & three) <= 2) & (np.bitwise_count(diff) <= MOST)
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For links u-v: each node and its component's least node, where they differ."""
-    nodes, at = np.unique(np.r_[u, v], return_inverse=True)
-    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while (jumped := new[new]).tolist() != new.tolist() if len(new) < 64 else not np.array_equal(jumped := new[new], new):
-            new = jumped
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def links(keys: np.ndarray, fps: np.ndarray, exact: np.ndarray, units: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the linked fingerprints among rows sorted by key and unit; in a unit with two halves, of the links between these."""
     edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (units[1:] != units[:-1]), True])

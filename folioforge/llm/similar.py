@@ -15,11 +15,19 @@ then comes the full Hamming check, and last the exact similarity. Width and turn
 follow from the number of texts and from RECALL, the chance at the least similarity
 that some segment is equal (higher for more similar pairs).
 
-A key with up to SMALL texts gives all its pairs. In a larger one each text is
-paired with the key's least; what that links has one label, and then only texts
-that are not of the key's commonest label are paired with those of other labels, in
-a join. So a large group of near copies never gives all its pairs, and no link of
-different groups is missed.
+Texts that have a candidate are *active*; the others are done with. Of the active ones
+the shingles are counted: what two sets have in common is at most what each of them
+has of shingles that are in several texts, which leaves out most candidates that miss
+the similarity, and texts that can't reach it with any other.
+
+Not all candidates are checked. In ROUNDS rounds a text is proposed, for each of its
+keys, one of another group than its own (that with the fewest shingles of its own, as
+the texts in the middle of a group have), and at most TRIES of them are checked
+exactly; what is similar is one group from then on. So a large group of near copies is
+soon one, after a few checks a text. What candidates connect is a *cell*; in each the
+texts that are not of its commonest group are then compared with all others of the
+cell, exactly, by an index over blocks of their shingles. Blocks are units of work of
+bounded size, and only what is similar leaves them, so no list of candidates is made.
 
 Defined cases: texts without words are equal to each other; repeated rows have one
 component; a null id is never the least id unless a component has no other; an empty
@@ -38,14 +46,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, kgram_hashes, materialize, mix64, range_hashes, spans, steps, text_bytes, tune, wider, word_hashes
+from .forests import forest
 from .graph import components
 
 WORDS, SIMILARITY = 5, 0.8
 BITS, CHAIN = 512, 64
-SIGMAS, RECALL = 4.0, 0.995
+SIGMAS, RECALL = 3.0, 0.995
 SMALL = 64
+ROUNDS, TRIES = 1, 8
 #: Pairs with one text that a task checks.
-PAIRS = 2_000
+PAIRS = 500
+#: Texts in a block of those that are compared with a cell, and in a part of the cell.
+ASKED, MEMBERS = 500, 2_000
 PRINT = [f"f{i}" for i in range(BITS // 64)]
 
 
@@ -134,60 +146,65 @@ def chains_hold(diff: np.ndarray, rings: Rings) -> np.ndarray:
     return ok
 
 
-def _expand(batches: Iterator[pa.RecordBatch], rings: Rings) -> Iterator[pa.RecordBatch]:
+ROW = ["id", "root", "size", "common"]
+KEYED = "key long, chain long, id long, root long, size long, common long"
+
+
+def _expand(batches: Iterator[pa.RecordBatch], rings: Rings, more: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             prints = np.stack([part.column(f).to_numpy().view(np.uint64) for f in PRINT], 1)
             for key, chain in ring_keys(prints, rings):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(chain.view(np.int64)), part.column("id")], ["key", "chain", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(chain.view(np.int64)), *(part.column(c) for c in (*ROW, *more))], ["key", "chain", *ROW, *more])
+
 
+def reachable(size: tuple, common: tuple, similarity: float, least):
+    """Whether two sets can be similar: of columns or of arrays. least: the lesser of two."""
+    both = least(common[0], common[1])
+    return both >= similarity * (size[0] + size[1] - both)
 
-def _pairs(batches: Iterator[pa.RecordBatch], rings: Rings, small: int) -> Iterator[pa.RecordBatch]:
-    """Candidates among rows sorted by key and id: pairs u > v; in a key with more than ``small`` rows those with its least id, and the key by itself.
 
-    Of a key that goes on in the next batch only its last ``small`` rows and its first are held.
+def _propose(batches: Iterator[pa.RecordBatch], rings: Rings, small: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """For texts of rows sorted by key, a candidate v of another root for each u and key; and each text that has any, or is in a key with more than ``small``, with v null.
+
+    Of a key that goes on in the next batch only its first row and its last ``small`` are held.
     """
     held = None
-    first_id = first_chain = None
-
-    def out(u, v, key=None):
-        n = len(u)
-        keys = pa.nulls(n, pa.int64()) if key is None else pa.array(key)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), keys], ["u", "v", "key"])
 
-    def found(key, chain, id_):
+    def found(key, chain, id_, root, size, common):
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         sizes = np.diff(edge)
         rank = np.arange(len(key)) - np.repeat(edge[:-1], sizes)
-        few = np.repeat(sizes <= small, sizes)
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        rows = np.flatnonzero(few)
+        many = np.repeat(sizes > small, sizes)
+        partner, marked = np.full(len(key), -1), many.copy()
+        fits = lambda i, j: (root[i] != root[j]) & reachable((size[i], size[j]), (common[i], common[j]), similarity, np.minimum) & chains_hold(chain[i] ^ chain[j], rings)
+        rows = np.flatnonzero(~many)
         for d in range(1, min(small, int(sizes.max(initial=0)))):
             rows = rows[rank[rows] >= d]
             if not len(rows):
                 break
-            ok = rows[chains_hold(chain[rows] ^ chain[rows - d], rings)]
-            us.append(id_[ok])
-            vs.append(id_[ok - d])
-        rows = np.flatnonzero(~few & (rank > 0))
-        star = rows - rank[rows]
-        ok = chains_hold(chain[rows] ^ chain[star], rings)
-        us.append(id_[rows[ok]])
-        vs.append(id_[star[ok]])
-        u, v = np.concatenate(us), np.concatenate(vs)
+            ok = rows[fits(rows, rows - d)]
+            partner[ok] = ok - d
+            marked[ok] = marked[ok - d] = True
+        rows = np.flatnonzero(many & (rank > 0))
+        first = rows - rank[rows]
+        ok = fits(rows, first)
+        partner[rows[ok]] = first[ok]
+        u = np.flatnonzero(partner >= 0)
         if len(u):
-            pair = np.unique(np.stack([u, v], 1), axis=0)
-            yield out(pair[:, 0], pair[:, 1])
-        large = key[edge[:-1][sizes > small]]
-        if len(large):
-            yield out(np.full(len(large), -1), np.full(len(large), -1), large)
+            pair = np.unique(np.stack([id_[u], id_[partner[u]]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
+        if marked.any():
+            seen = np.unique(id_[marked])
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.nulls(len(seen), pa.int64())], ["u", "v"])
 
     for batch in batches:
-        rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+        rows = [batch.column(i).to_numpy() for i in range(6)]
+        rows[1] = rows[1].view(np.uint64)
         if held is not None:
             rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
-        key, chain, id_ = rows
+        key = rows[0]
         if not len(key):
             continue
         cut = int(np.searchsorted(key, key[-1]))
@@ -195,7 +212,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], rings: Rings, small: int) -> Itera
             yield from found(*(r[:cut] for r in rows))
         held = [r[cut:] for r in rows]
         if len(held[0]) > 4 * small:
-            # A large key: its pairs with the least so far, of which the least and enough rows to count as large stay.
+            # A large key: proposals so far; its first row and enough others to count as large stay.
             yield from found(*held)
             held = [np.r_[h[:1], h[-small:]] for h in held]
     if held is not None:
@@ -209,6 +226,13 @@ def _sets(batches: Iterator[pa.RecordBatch], words_in: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("id"), made], ["id", "set"])
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shingle and id of every set."""
+    for batch in steps(batches, "set"):
+        data, offsets = text_bytes(batch.column("set"))
+        yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 8)))], ["shingle", "id"])
+
+
 def _check(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by v, salt and u, that of v itself (u null) first: the pairs that are similar."""
     now, own = None, None
@@ -227,49 +251,143 @@ def _check(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
-class _Graph(NamedTuple):
-    texts: DataFrame
-    nodes: DataFrame
-    rings: Rings
-    words_in: int
-    similarity: float
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs u, v whose prints differ within the budget and whose texts are similar."""
-        words_in, similarity = self.words_in, self.similarity
-        side = lambda c: self.nodes.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), *(F.col(f).alias(f"{c}_{f}") for f in PRINT))
-        differ = sum((F.bit_count(F.col(f"u_{f}").bitwiseXOR(F.col(f"v_{f}"))) for f in PRINT[1:]), F.bit_count(F.col(f"u_{PRINT[0]}").bitwiseXOR(F.col(f"v_{PRINT[0]}"))))
-        near = (differ <= self.rings.budget) & (F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size"))
-        pairs = materialize(pairs.join(side("u"), "u").join(side("v"), "v").filter(near).select("u", "v"))
-        ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-        asked = materialize(self.nodes.select("id", "node").join(ids, "id"))
-        one = self.texts.join(asked, "node").groupBy("id").agg(F.min("text").alias("text"))
-        sets = materialize(one.mapInArrow(lambda b: _sets(b, words_in), "id long, set binary"))
-        count = materialize(pairs.groupBy("v").agg(F.ceil(F.count("*") / PAIRS).alias("salts")))
-        first = sets.join(count, sets["id"] == count["v"]).select(F.lit(None).cast("long").alias("u"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), "set")
-        rest = pairs.join(count, "v").join(sets, sets["id"] == pairs["u"]).select("u", "v", F.pmod(F.xxhash64("u"), "salts").cast("long").alias("salt"), "set")
-        rows = first.unionByName(rest).repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
-        return rows.mapInArrow(lambda b: _check(b, similarity), "u long, v long")
-
-
-def _cross(keys: DataFrame, large: DataFrame, labels: DataFrame, rings: Rings) -> DataFrame:
-    """Candidates of the large keys between different labels."""
-    rows = keys.join(large, "key").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = materialize(rows.select("key", "chain", "id", "root"))
-    common = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).filter("n > 1")
-    other = materialize(rows.join(common, "key").filter("root <> main").select("key", F.col("chain").alias("c"), F.col("id").alias("i"), F.col("root").alias("r")))
-    met = rows.join(other, "key").filter("root <> r")
-    for mask, most in chain_limits(rings):
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        met = met.filter(F.bit_count(F.col("chain").bitwiseXOR(F.col("c")).bitwiseAND(F.lit(signed).cast("long"))) <= most)
-    return met.select(F.greatest("id", "i").alias("u"), F.least("id", "i").alias("v")).distinct()
+def keyed(nodes: DataFrame, rings: Rings, *more: str) -> DataFrame:
+    """A row for every segment of every turn, with columns ``more`` (numbers) of the nodes."""
+    kinds = "".join(f", {c} long" for c in more)
+    return nodes.select(*ROW, *PRINT).mapInArrow(lambda b: _expand(b, rings, more), KEYED + kinds)
+
+
+def proposed(nodes: DataFrame, rings: Rings, similarity: float, small: int) -> DataFrame:
+    """u and vs (up to TRIES) of the texts ``nodes`` (columns ROW and the print) that have or may have candidates; written."""
+    rows = keyed(nodes, rings).repartition("key").sortWithinPartitions("key", F.col("size") - F.col("common"), "id")
+    pairs = rows.mapInArrow(lambda b: _propose(b, rings, small, similarity), "u long, v long")
+    # A text has no more proposals than keys.
+    of = F.array_sort(F.collect_set(F.when(F.col("v").isNotNull(), F.struct(F.xxhash64("v").alias("h"), "v"))))
+    return materialize(pairs.groupBy("u").agg(F.transform(F.slice(of, 1, TRIES), lambda x: x["v"]).alias("vs")))
+
+
+def differing(a: str, b: str) -> Column:
+    """Bits in which two prints differ, whose columns have prefixes."""
+    bits = [F.bit_count(F.col(f"{a}{f}").bitwiseXOR(F.col(f"{b}{f}"))) for f in PRINT]
+    return sum(bits[1:], bits[0])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, rings: Rings, similarity: float) -> DataFrame:
+    """Those of the distinct pairs u, v whose prints differ within the budget and whose sets are similar; written."""
+    side = lambda c: nodes.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", "common", *PRINT)))
+    two = lambda x: (F.col(f"u_{x}"), F.col(f"v_{x}"))
+    near = (differing("u_", "v_") <= rings.budget) & reachable(two("size"), two("common"), similarity, F.least)
+    pairs = materialize(pairs.join(side("u"), "u").join(side("v"), "v").filter(near).select("u", "v"))
+    count = materialize(pairs.groupBy("v").agg(F.ceil(F.count("*") / PAIRS).alias("salts")))
+    first = sets.join(count, sets["id"] == count["v"]).select(F.lit(None).cast("long").alias("u"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), "set")
+    rest = pairs.join(count, "v").join(sets, sets["id"] == pairs["u"]).select("u", "v", F.pmod(F.xxhash64("u"), "salts").cast("long").alias("salt"), "set")
+    rows = first.unionByName(rest).repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
+    return materialize(rows.mapInArrow(lambda b: _check(b, similarity), "u long, v long"))
+
+
+def _connect(batches: Iterator[pa.RecordBatch], rings: Rings, small: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the candidates of each key; in a key with more than ``small`` rows all are taken to be connected."""
+    held = None
+
+    def found(key, chain, id_, root, size, common, *prints):
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        sizes = np.diff(edge)
+        rank = np.arange(len(key)) - np.repeat(edge[:-1], sizes)
+        many = np.repeat(sizes > small, sizes)
+        rows = np.flatnonzero(many & (rank > 0))
+        us, vs = [id_[rows]], [id_[rows - rank[rows]]]
+        rows = np.flatnonzero(~many)
+        for d in range(1, min(small, int(sizes.max(initial=0)))):
+            rows = rows[rank[rows] >= d]
+            if not len(rows):
+                break
+            i = rows[reachable((size[rows], size[rows - d]), (common[rows], common[rows - d]), similarity, np.minimum)]
+            i = i[sum(np.bitwise_count(p[i] ^ p[i - d]).astype(np.int64) for p in prints) <= rings.budget]
+            us.append(id_[i])
+            vs.append(id_[i - d])
+        a, b = forest(np.concatenate(us).astype(np.uint64), np.concatenate(vs).astype(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["u", "v"])
+
+    for batch in batches:
+        # The bits of prints are counted without a sign.
+        rows = [batch.column(i).to_numpy() for i in range(6)] + [batch.column(i).to_numpy().view(np.uint64) for i in range(6, batch.num_columns)]
+        if held is not None:
+            rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+        key = rows[0]
+        if not len(key):
+            continue
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield found(*(r[:cut] for r in rows))
+        held = [r[cut:] for r in rows]
+        if len(held[0]) > 4 * small:
+            yield found(*held)
+            held = [np.r_[h[:1], h[-small:]] for h in held]
+    if held is not None:
+        yield found(*held)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], similarity: float, at_once: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of different roots in rows sorted by unit: first the asked texts, then those that they are compared with."""
+    names = ["cell", "chunk", "part"]
+    now, asked, index = None, [], None
+
+    def built():
+        ids, roots = (np.array([a[i] for a in asked], np.int64) for i in (0, 1))
+        sets = [a[2] for a in asked]
+        sizes = np.array([len(x) for x in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(every, kind="stable")
+        return ids, roots, sizes, every[order], owner[order]
+
+    for batch in batches:
+        out_u, out_v = [], []
+        unit = list(zip(*(batch.column(n).to_pylist() for n in names)))
+        for u, side, id_, root, raw in zip(unit, *(batch.column(n).to_pylist() for n in ("side", "id", "root", "set"))):
+            if u != now:
+                now, asked, index = u, [], None
+            own = np.frombuffer(raw, np.uint64)
+            if side == 0:
+                asked.append((id_, root, own))
+                continue
+            if not asked:
+                continue
+            index = index or built()
+            ids, roots, sizes, every, owner = index
+            lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            both, step = np.zeros(len(ids), np.int64), max(1, at_once // len(ids))
+            for at in range(0, len(own), step):
+                a, n = lo[at : at + step], (hi - lo)[at : at + step]
+                where = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both += np.bincount(owner[where], minlength=len(ids))
+            hit = np.flatnonzero((both >= similarity * (sizes + len(own) - both)) & (roots != root))
+            out_u += [id_] * len(hit)
+            out_v += ids[hit].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
+
+
+def crossing(nodes: DataFrame, sets: DataFrame, rings: Rings, similarity: float, small: int) -> DataFrame:
+    """Similar pairs of different roots within cells; written."""
+    rows = keyed(nodes, rings, *PRINT).repartition("key").sortWithinPartitions("key")
+    cells = components(rows.mapInArrow(lambda b: _connect(b, rings, small, similarity), "u long, v long")).select(F.col("u").alias("id"), F.col("root").alias("cell"))
+    of = materialize(nodes.select("id", "root").join(cells, "id", "left").withColumn("cell", F.coalesce("cell", "id")))
+    mains = of.groupBy("cell", "root").count().groupBy("cell").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("roots"))
+    mains = materialize(mains.filter("roots > 1"))
+    of = of.join(mains.select("cell", "main", "n"), "cell")
+    counts = of.filter("root <> main").groupBy("cell").agg(F.ceil(F.count("*") / ASKED).alias("chunks"))
+    of = materialize(of.join(counts, "cell").withColumn("parts", F.ceil(F.col("n") / MEMBERS)))
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("long")
+    asked = of.filter("root <> main").select("cell", own("chunks").alias("chunk"), number("parts").alias("part"), F.lit(0).alias("side"), "id", "root")
+    others = of.select("cell", number("chunks").alias("chunk"), own("parts").alias("part"), F.lit(1).alias("side"), "id", "root")
+    units = asked.unionByName(others).join(sets, "id").repartition("cell", "chunk", "part").sortWithinPartitions("cell", "chunk", "part", "side")
+    return materialize(units.mapInArrow(lambda b: _compare(b, similarity), "u long, v long"))
 
 
 def similar_groups(docs: DataFrame, words_in: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, node (key of the text) and component (a number of its group) for every document; written."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("node"), F.col(text).alias("text"))
-    texts = rows.select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -283,15 +401,22 @@ def similar_groups(docs: DataFrame, words_in: int = WORDS, similarity: float = S
     distinct = printed.groupBy("node").agg(*(F.min(c).alias(c) for c in ("size", *PRINT)))
     nodes = materialize(distinct.withColumn("id", F.monotonically_increasing_id()))
     rings = plan_rings(nodes.count(), similarity)
-    keys = nodes.filter("size > 0").select("id", *PRINT).mapInArrow(lambda b: _expand(b, rings), "key long, chain long, id long")
-    met = materialize(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: _pairs(b, rings, small), "u long, v long, key long").distinct())
-    graph = _Graph(texts, nodes, rings, words_in, similarity)
-    links = materialize(graph.verified(met.filter("key is null").select("u", "v")))
-    labels = components(links).withColumnRenamed("u", "id")
-    large = met.filter("key is not null").select("key").distinct()
-    if not large.isEmpty():
-        more = graph.verified(_cross(keys, large, labels, rings))
-        labels = components(links.unionByName(more)).withColumnRenamed("u", "id")
+    alone = nodes.filter("size > 0").withColumn("root", F.col("id")).withColumn("common", F.col("size"))
+    active = nodes.join(proposed(alone, rings, similarity, small).select(F.col("u").alias("id")), "id", "left_semi")
+    one = rows.select("node", "text").join(active.select("node", "id"), "node").groupBy("id").agg(F.min("text").alias("text"))
+    sets = materialize(one.mapInArrow(lambda b: _sets(b, words_in), "id long, set binary"))
+    own = sets.mapInArrow(_spread, "shingle long, id long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    active = active.join(own, "id", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).filter(F.col("common") >= similarity * F.col("size"))
+    active = materialize(active.withColumn("root", F.col("id")))
+    links = None
+    for _ in range(ROUNDS):
+        pairs = proposed(active, rings, similarity, small).select("u", F.explode("vs").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        new = verified(pairs, active, sets, rings, similarity)
+        links = links.unionByName(new) if links else new
+        labels = components(links).withColumnRenamed("u", "id")
+        active = materialize(active.drop("root").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    more = crossing(active, sets, rings, similarity, small)
+    labels = labels if more.isEmpty() else components(links.unionByName(more)).withColumnRenamed("u", "id")
     named = nodes.select("node", "id").join(labels, "id", "left").select("node", F.coalesce("root", "id").alias("component"))
     return materialize(printed.select("doc_id", "node").join(named, "node"))
 

@@ -134,3 +134,31 @@ def test_recall_on_the_tables(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
     n, found = pairs_found(texts, groups_of(spark, texts))
     assert n >= 5 and found == n
+
+
+def test_group_in_which_most_pairs_miss_the_similarity(spark):
+    rng = random.Random(21)
+    base = [f"v{i}" for i in range(150)]
+    texts = []
+    for _ in range(400):
+        other = list(base)
+        for p in rng.sample(range(150), rng.randrange(8)):
+            other[p] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(other))
+    sets = [shingle_set(t) for t in texts]
+    near = [linked(sets[i], sets[j]) for i in range(400) for j in range(i)]
+    assert 0.05 < sum(near) / len(near) < 0.3
+    got, label = groups_of(spark, texts), brute_groups(texts)
+    pairs = lambda of: {tuple(sorted(i for i in range(400) if of[i] == x)) for x in {of[i] for i in range(400)}}
+    assert pairs(got) == pairs(dict(enumerate(label))) and len(set(label)) > 50
+
+
+def test_comparing_takes_blocks_of_any_order(spark):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, 30)).astype(np.uint64) for _ in range(40)]
+    rows = [(0, c, 0, side, i, i % 3, sets[i].tobytes()) for c in range(2) for side in (0, 1) for i in range(40) if side or (i % 2 == c and i < 30)] + [(0, 2, 0, 1, 5, 0, sets[5].tobytes())]
+    names = ["cell", "chunk", "part", "side", "id", "root", "set"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[at : at + 7]]) for at in range(0, len(rows), 7)]
+    got = {(u, v) for b in similar._compare(iter(batches), 0.4, at_once=50) for u, v in zip(*(b.column(c).to_pylist() for c in ("u", "v")))}
+    want = {(i, j) for i in range(40) for j in range(30) if i % 3 != j % 3 and len(set(sets[i]) & set(sets[j])) >= 0.4 * len(set(sets[i]) | set(sets[j]))}
+    assert got == want and len(want) > 10
