@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -77,6 +78,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps have left: garbage of the driver, and with it the shuffle files and broadcasts that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def kind(df: DataFrame, column: str) -> str:
     """The DDL type of a column."""
     return df.schema[column].dataType.simpleString()

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, kgram_hashes, materialize, mix64, range_hashes, spans, steps, text_bytes, tune, wider, word_hashes
+from .common import LOWER, SPACE, kgram_hashes, materialize, mix64, range_hashes, release, spans, steps, text_bytes, tune, wider, word_hashes
 from .forests import forest
 from .graph import components
 
@@ -408,6 +408,7 @@ def similar_groups(docs: DataFrame, words_in: int = WORDS, similarity: float = S
     own = sets.mapInArrow(_spread, "shingle long, id long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
     active = active.join(own, "id", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).filter(F.col("common") >= similarity * F.col("size"))
     active = materialize(active.withColumn("root", F.col("id")))
+    release(docs.sparkSession)
     links = None
     for _ in range(ROUNDS):
         pairs = proposed(active, rings, similarity, small).select("u", F.explode("vs").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -415,6 +416,7 @@ def similar_groups(docs: DataFrame, words_in: int = WORDS, similarity: float = S
         links = links.unionByName(new) if links else new
         labels = components(links).withColumnRenamed("u", "id")
         active = materialize(active.drop("root").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    release(docs.sparkSession)
     more = crossing(active, sets, rings, similarity, small)
     labels = labels if more.isEmpty() else components(links.unionByName(more)).withColumnRenamed("u", "id")
     named = nodes.select("node", "id").join(labels, "id", "left").select("node", F.coalesce("root", "id").alias("component"))

@@ -89,11 +89,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ridge: float = 1.0, rounds:
     share = float(labels.mean()) if n else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(size, np.float32), 30.0 if share else -30.0)
-    features, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+    features, owner = np.concatenate(rows), np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     if not len(features):
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    known, features = np.unique(features, return_inverse=True)
-    m = len(known)
+    known = np.flatnonzero(np.bincount(features, minlength=size))
+    place, m = np.zeros(size, np.int32), len(known)
+    place[known] = np.arange(m)
+    features = place[features]
     p = np.bincount(features, labels[owner], m) + alpha
     q = np.bincount(features, 1 - labels[owner], m) + alpha
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
@@ -156,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, doc_id: str = "d
 
     table = rows.mapInArrow(run, "y int, grams binary").toArrow()
     found = sorted(zip(table.column("y").to_pylist(), table.column("grams").to_pylist()))
+    del table
     return fit([np.frombuffer(g, np.int32) for _, g in found], np.array([y for y, _ in found], float))
 
 
