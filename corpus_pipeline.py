@@ -19,27 +19,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import decontam, mixing, secrets, simhash, toxicity
-from folioforge.llm.common import drop_tables, materialize, written
+from folioforge.llm.common import drop_tables, materialize, release, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under the threshold; learned from the labels of those that are here."""
+    release(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, out=("__score", "__toxic")).filter("__toxic = 0").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates at similarity 0.8 of five-word shingles, the one with the least id."""
+    release(spark)
     return simhash.keep_one(docs).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
+    release(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts."""
+    release(spark)
     model = secrets.train(secrets.labelled_samples(docs))
     masked = secrets.redact(secrets.find_secrets(docs, model, out="__spans"), spans="__spans")
     return masked.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
@@ -47,6 +51,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, size, source_size, target and taken for all documents."""
+    release(spark)
     return mixing.mix_report(mixing.mix_sources(docs))
 
 
