@@ -7,6 +7,7 @@ except NFC normalisation, which Spark has no expression for.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -39,6 +40,11 @@ def first_nonempty(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stem(filename: Column) -> Column:
     """File name without its last suffix; a leading dot starts no suffix, a trailing dot is none."""
     return F.regexp_replace(filename, r"(?s)(?<=.)\.[^.]+$", "")

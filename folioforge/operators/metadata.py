@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_lines, first_lines, first_nonempty, rstrip, stem, strip
+from ..functions.text import all_lines, first_lines, first_nonempty, let, rstrip, stem, strip
 
 # Document types in order, with patterns over capitals.
 TYPES = [
@@ -125,7 +125,7 @@ def _iso(text: Column, pattern: str, y: int, m: int, d: int) -> Column:
         part = lambda i: F.regexp_extract(found, pattern, i)
         return F.when(found == "", "").otherwise(F.concat(part(y), F.lit("-"), F.lpad(part(m), 2, "0"), F.lit("-"), F.lpad(part(d), 2, "0")))
 
-    return F.get(F.transform(F.array(F.regexp_extract(text, pattern, 0)), parts), F.lit(0))
+    return let(F.regexp_extract(text, pattern, 0), parts)
 
 
 def issued_date(text: Column, filename: Column, low: Column | None = None) -> Column:
@@ -153,7 +153,7 @@ def unit(text: Column, number: Column, low: Column | None = None) -> Column:
     said = _extract(_has(_low(text, low), "theo đề nghị"), F.left(text, F.lit(3000)), PROPOSED)
     named = strip(said)
     named = F.when(named.contains("Ban ") | named.startswith("Tổng"), named).otherwise(F.concat(F.lit("Ban "), named))
-    listed = reduce(lambda c, x: c.when(F.upper(number).contains(x[0]), x[1]), UNITS[1:], F.when(F.upper(number).contains(UNITS[0][0]), UNITS[0][1])).otherwise("")
+    listed = let(F.upper(number), lambda n: reduce(lambda c, x: c.when(n.contains(x[0]), x[1]), UNITS[1:], F.when(n.contains(UNITS[0][0]), UNITS[0][1])).otherwise(""))
     return F.when(said != "", named).otherwise(listed)
 
 
