@@ -59,7 +59,7 @@ FROM orders, unnest(CASE WHEN o_orderkey % 3 = 2 THEN [1] ELSE [1, 2] END) AS t(
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text layers of PDF files, damaged ones too."""
     found = decoders.decode_files(_pdf_files(spark, sf_dir))
-    return found.select("o_orderkey", F.inline("decoded.pages")).select("o_orderkey", "page_number", "text_layer")
+    return decoders.exploded_pages(found, "o_orderkey").select("o_orderkey", "page_number", "text_layer")
 
 
 @query("SELECT o_orderkey, o_orderkey % 3 = 1 AS repaired, o_orderkey % 3 = 2 AS failed, 'pdf' AS kind FROM orders")
@@ -98,7 +98,7 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.append((size(ready), size(images.read_png(images.upright(raw, lambda _: (90, 2.5)))), int(np.count_nonzero(ready == 0))))
         return pd.DataFrame(out, columns=["shape", "turned", "black"])
 
-    pages = decoders.decode_files(files).select("o_orderkey", F.inline("decoded.pages"))
+    pages = decoders.exploded_pages(decoders.decode_files(files), "o_orderkey")
     return pages.select("o_orderkey", F.col("max_image_area_ratio").alias("share"), seen("image").alias("s")).select("o_orderkey", "share", "s.*")
 
 
