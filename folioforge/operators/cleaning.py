@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cache
+import re
+from functools import cache, reduce
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,8 @@ def clean_artifacts(text: Column) -> Column:
     """Without e-mail stamps, times, page indicators and stray symbols; lines that become blank go."""
 
     def stamped(line: Column) -> Column:
-        return replace_all(line, [(rf"(?iU)[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}{_STAMP}", ""), (f"(?U){_TIME}", "")])
+        rules = [(rf"(?iU)[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}{_STAMP}", ""), (f"(?U){_TIME}", "")]
+        return F.when(line.contains("@"), replace_all(line, rules)).when(line.contains(":"), replace_all(line, rules[1:])).otherwise(line)
 
     def keep(line: Column) -> Column:
         s = strip(line)
@@ -38,13 +40,19 @@ def clean_artifacts(text: Column) -> Column:
 
 
 #: Rules that one test guards.
-GROUP = 20
+GROUP = 5
+
+
+def needed(pattern: str) -> str:
+    """The longest string that is in every text in which a pattern of the rules occurs."""
+    parts = re.split(r"\\[sb][+*]?|\[[^\]]*\][+*?]?|\(\?:[^)]*\)[+*?]?|\\[()\]]\??|[^\\]\?|\\(?=[./])", pattern.removeprefix("(?U)"))
+    return max(parts, key=len)
 
 
 def correct_terms(df: DataFrame, text: str, out: str | None = None) -> DataFrame:
     """Ordered corrections of misread terms.
 
-    The rules come in groups. A text in which no pattern of a group occurs can't be
+    The rules come in groups. A text that has no word of a group's patterns can't be
     changed by it, so the others alone go through its rules. Each group's result is a
     column, so it is worked out once.
     """
@@ -52,7 +60,7 @@ def correct_terms(df: DataFrame, text: str, out: str | None = None) -> DataFrame
     d = df.withColumn(out, F.coalesce(F.col(text), F.lit("")))
     for at in range(0, len(rules), GROUP):
         group = rules[at : at + GROUP]
-        some = F.col(out).rlike("(?U)" + "|".join(f"(?:{p.removeprefix('(?U)')})" for p, _ in group))
+        some = reduce(lambda a, b: a | b, [F.col(out).contains(w) for w in dict.fromkeys(needed(p) for p, _ in group)])
         d = d.withColumn(out, F.when(some, replace_all(F.col(out), group)).otherwise(F.col(out)))
     return d
 
