@@ -92,16 +92,17 @@ def document_type(filename: Column, text: Column) -> Column:
 
 def header(text: Column) -> Column:
     """The first 1500 characters, up to the grounds or the addressee."""
-    return F.get(F.split(F.left(text, F.lit(1500)), HEADER_ENDS, 2), F.lit(0))
+    head = F.left(text, F.lit(1500))
+    return F.when(_has(_folded(head), "căn cứ", "can cir", "can dr", "kính gửi", "kinh gui"), F.get(F.split(head, HEADER_ENDS, 2), F.lit(0))).otherwise(head)
 
 
 def _standard(number: Column) -> Column:
     return F.replace(number, F.lit("QD"), F.lit("QĐ"))
 
 
-def document_number(text: Column, filename: Column) -> Column:
+def document_number(text: Column, filename: Column, head: Column | None = None) -> Column:
     named = _standard(F.regexp_replace(F.regexp_extract(filename, NUMBER_IN_NAME, 1), r"(?U)^(\d+)[-_]([A-Za-zĐđ]+)", "$1/$2"))
-    found = F.regexp_replace(F.regexp_extract(header(text), NUMBER_IN_HEADER, 1), r"(?U)\s+", "")
+    found = F.regexp_replace(F.regexp_extract(header(text) if head is None else head, NUMBER_IN_HEADER, 1), r"(?U)\s+", "")
     found = F.regexp_replace(found, rf"(?iuU)^(\d+)[-_]({KINDS})", "$1/$2")
     found = F.when(F.length(found) >= 4, _standard(found)).otherwise("")
     listed = _has(text, *[f"/{k}-" for k in ("VNPT", "QĐ", "TT", "TB", "BC", "HD", "NQ", "QD", "CV")])
@@ -128,10 +129,10 @@ def _iso(text: Column, pattern: str, y: int, m: int, d: int) -> Column:
     return let(F.regexp_extract(text, pattern, 0), parts)
 
 
-def issued_date(text: Column, filename: Column, low: Column | None = None) -> Column:
+def issued_date(text: Column, filename: Column, low: Column | None = None, head: Column | None = None) -> Column:
     low = _low(text, low)
     dated = _has(low, "tháng")
-    head = F.when(dated, _iso(header(text), DAY_IN_HEADER, 3, 2, 1)).otherwise("")
+    head = F.when(dated, _iso(header(text) if head is None else head, DAY_IN_HEADER, 3, 2, 1)).otherwise("")
     name = first_nonempty(_iso(filename, ISO_IN_NAME, 1, 2, 3), _iso(filename, DMY_IN_NAME, 3, 2, 1))
     # A file name that agrees in year and month has the better day.
     sure = F.when((name != "") & ((head == "") | (F.left(head, F.lit(7)) == F.left(name, F.lit(7)))), name).otherwise(head)
@@ -140,8 +141,8 @@ def issued_date(text: Column, filename: Column, low: Column | None = None) -> Co
 
 def effective_date(text: Column, issued: Column, low: Column | None = None) -> Column:
     low = _low(text, low)
-    named = _extract(_has(low, "hiệu lực", "effective"), text, EFFECTIVE)
-    return F.when(_has(low, "hiệu lực", "hieu luc") & text.rlike(FROM_SIGNING), issued).otherwise(F.translate(named, "-.", "//"))
+    named = _extract(_has(low, "hiệu lực từ ngày", "ngày hiệu lực", "effective date"), text, EFFECTIVE)
+    return F.when(_has(low, "hiệu lực", "hieu luc") & _has(low, "ngày ký", "ngay ky") & text.rlike(FROM_SIGNING), issued).otherwise(F.translate(named, "-.", "//"))
 
 
 def status(text: Column) -> Column:
@@ -220,8 +221,8 @@ def with_metadata(df: DataFrame, filename: str, markdown: str, source: str, sha2
     """
     c, name = F.col, F.col(filename)
     d = df.withColumn("__pages", pages if isinstance(pages, Column) else c(pages)).withColumn("__text", first_nonempty(c(source), c(markdown)))
-    d = d.withColumn("__low", _folded(c("__text")))
-    d = d.withColumns({"__number": document_number(c("__text"), name), "__issued": issued_date(c("__text"), name, c("__low")), "__md": F.length(markdown), "__src": F.length(source)})
+    d = d.withColumns({"__low": _folded(c("__text")), "__head": header(c("__text"))})
+    d = d.withColumns({"__number": document_number(c("__text"), name, c("__head")), "__issued": issued_date(c("__text"), name, c("__low"), c("__head")), "__md": F.length(markdown), "__src": F.length(source)})
     d = d.withColumn("__src", F.when(c("__src") > 0, c("__src")).otherwise(c("__md")))
     values = {
         "document_id": document_id(name), "source_file": name, "title": title(name, c(markdown), own_title, first_heading), "document_type": document_type(name, c("__text")),
@@ -230,7 +231,7 @@ def with_metadata(df: DataFrame, filename: str, markdown: str, source: str, sha2
         "language": F.lit(language), "conversion_date": F.lit(conversion_date), "converter_version": F.lit(converter_version), "source_sha256": c(sha256),
         "page_count": F.greatest(F.lit(1), c("__pages")).cast("int"), "source_text_char_count": c("__src"), "markdown_text_char_count": c("__md"), "text_retention_ratio": retention(c("__md"), c("__src")),
     }
-    d = d.withColumns({prefix + k: v for k, v in values.items()}).drop("__pages", "__text", "__low", "__number", "__issued", "__md", "__src")
+    d = d.withColumns({prefix + k: v for k, v in values.items()}).drop("__pages", "__text", "__low", "__head", "__number", "__issued", "__md", "__src")
     return d, {k: F.col(prefix + k) for k in KEYS}
 
 
