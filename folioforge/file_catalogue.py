@@ -375,9 +375,12 @@ def package_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file of a package, each document next to the bytes that it came from."""
     docs = gated_documents(spark, sf_dir)
     files = docs.select("filename", F.coalesce("lang", F.lit("")).cast("binary").alias("content"))
-    found = package.entries(docs, files, "2024-01-01T00:00:00")
-    own = F.col("path").rlike("00_Master|manifest|report|README")
-    return found.select("path", F.when(own, "text").otherwise(F.sha2("content", 256)).alias("sha256"))
+    rows = package.document_entries(docs, files).select("path", F.sha2("content", 256).alias("sha256"))
+    for own in package.own_pieces(docs, "2024-01-01T00:00:00"):
+        # All pieces of a file are made, and count as one.
+        whole = own.groupBy("path").agg(F.sum(F.octet_length("content")).alias("size")).filter("size > 0")
+        rows = rows.unionByName(whole.select("path", F.lit("text").alias("sha256")))
+    return rows
 
 
 @query(f"WITH {_GATED} SELECT 'tài liệu/doc ' || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS sha256, true AS utf8 FROM gated")
@@ -385,7 +388,7 @@ def batch_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Markdown file for each document, written to archives by the tasks that hold them and read back from these."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in package.slices(whole, "content")):
             out = io.BytesIO()
             package.write_zip(batch.to_pylist(), out)
             with zipfile.ZipFile(out) as z:

@@ -10,9 +10,10 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -257,17 +258,88 @@ def readme(total: int, ready: int, failed: int) -> str:
     return README.format(mode=mode, total=total, ready=ready, failed=note, upload=upload)
 
 
+#: Documents whose items are objects at a time; lines of a piece, as a power of two.
+ITEMS, PIECE = 500, 10
+
+
+def slices(batch: pa.RecordBatch, column: str, rows: int = ITEMS, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows and, but for single rows beyond that, of few bytes in a column: so few of them are objects at a time."""
+    start, size = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if i > start and (i - start >= rows or size + (n or 0) > most):
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
+def _indented_items(items: DataFrame) -> DataFrame:
+    """``line`` as an element of an indented list, one document at a time."""
+
+    def run(batches):
+        for whole in batches:
+            at = whole.schema.get_field_index("line")
+            for batch in slices(whole, "line"):
+                made = [json.dumps(json.loads(x), ensure_ascii=False, indent=2).replace("\n", "\n    ") for x in batch.column(at).to_pylist()]
+                yield batch.set_column(at, "line", pa.array(["    " + x for x in made], pa.string()))
+
+    return items.mapInArrow(run, items.schema)
+
+
+def _pieces(lines: DataFrame, path: str) -> DataFrame:
+    """path, part and content: lines (place, ordinal, line) end to end, in pieces of at most 2 ** PIECE lines, in their order."""
+    dealt = lines.repartitionByRange("place", "ordinal").sortWithinPartitions("place", "ordinal").withColumn("id", F.monotonically_increasing_id())
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "")
+    found = dealt.groupBy(F.shiftright("id", PIECE).alias("part")).agg(joined.cast("binary").alias("content"))
+    return found.select(F.lit(path).alias("path"), "part", "content").orderBy("part")
+
+
+def own_pieces(docs: DataFrame, generated_at: str, kb_name: str = KB_NAME) -> list[DataFrame]:
+    """path, part and content of the index (from two ready documents on), the manifest, the report and the readme.
+
+    Each is made in pieces, so none has to fit into one row or one task; ``part`` is their order.
+    """
+    spark = docs.sparkSession
+    # One row for each of three buckets.
+    found = {r["bucket"]: r for r in bucketed(docs).groupBy("bucket").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last")).collect()}
+    n = {b: found[b]["n"] if b in found else 0 for b in ("ready", "failed", "unvalidated")}
+    place, at = F.col("place"), F.col("ordinal")
+    frame = lambda edges: spark.createDataFrame(edges, "place int, line string").select("place", F.lit(None).cast(docs.schema["ordinal"].dataType).alias("ordinal"), "line")
+    # What comes last has no blanks at its end.
+    ended = lambda lines, p, last: lines.select("place", "ordinal", F.concat(F.when(place == 0, "").when((place == 3) & F.lit(last is None), "\n\n").otherwise("\n"), F.when((place == p) & (F.lit(True) if last is None else at == F.lit(last)), F.regexp_replace("line", r"\s+$", "")).otherwise(F.col("line"))).alias("line"))
+    out = []
+    if n["ready"] >= 2:
+        out.append(_pieces(ended(index_lines(docs, generated_at), 3, found["ready"]["last"]), "upload_to_ai/00_Master_Index.md"))
+    items = manifest_items(docs).select(F.when(F.col("bucket") == "ready", 1).otherwise(3).alias("place"), "ordinal", F.col("item").alias("line"))
+    starts = F.lit(False)
+    for p, b in ((1, "ready"), (3, "failed")):
+        starts = starts | ((place == p) & (at == F.lit(found[b]["first"]))) if n[b] else starts
+    items = _indented_items(items).select("place", "ordinal", F.concat(F.when(starts, "\n").otherwise(",\n"), "line").alias("line"))
+    head = json.dumps({"schema_version": "1.0", "knowledge_base": kb_name, "generated_at": generated_at, "total_documents": n["ready"] + n["failed"], "ready_for_ai_count": n["ready"], "failed_count": n["failed"]}, ensure_ascii=False, indent=2)
+    edges = [(0, head[:-2] + ',\n  "documents": ['), (2, ("\n  " if n["ready"] else "") + '],\n  "failed_documents": ['), (4, ("\n  " if n["failed"] else "") + "]\n}")]
+    out.append(_pieces(items.unionByName(frame(edges)), "technical/manifest.json"))
+    p, last = next(((p, found[b]["last"]) for p, b in ((5, "failed"), (4, "ready")) if n[b]), (3, None))
+    out.append(_pieces(ended(report_lines(docs), p, last), "technical/conversion_report.md"))
+    said = readme(sum(n.values()), n["ready"], n["failed"])
+    out.append(spark.createDataFrame([("README.txt", said)], "path string, content string").select("path", F.lit(None).cast("long").alias("part"), F.col("content").cast("binary").alias("content")))
+    return out
+
+
+def document_entries(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """path and content of the documents of a package and of their sources."""
+    body = named(bucketed(docs)).filter("bucket <> 'unvalidated'").select(F.concat(F.when(F.col("bucket") == "ready", "upload_to_ai/").otherwise("technical/failed/"), F.col("md_name")).alias("path"), F.col("markdown").cast("binary").alias("content"))
+    return body.unionByName(files.select(F.concat(F.lit("source/"), F.col("filename")).alias("path"), F.col("content").cast("binary").alias("content")))
+
+
 def entries(docs: DataFrame, files: DataFrame, generated_at: str, kb_name: str = KB_NAME) -> DataFrame:
-    """path and content (binary) of every file of a package; ``files`` has filename and content of the sources."""
-    spark, d = docs.sparkSession, named(bucketed(docs))
-    body = d.filter("bucket <> 'unvalidated'").select(F.concat(F.when(F.col("bucket") == "ready", "upload_to_ai/").otherwise("technical/failed/"), F.col("md_name")).alias("path"), F.col("markdown").cast("binary").alias("content"))
-    file = lambda df, path: df.select(F.lit(path).alias("path"), F.col("content").cast("binary").alias("content"))
-    s = summary(docs).first()
-    text = spark.createDataFrame([(readme(s.total_documents, s.ready_count, s.failed_count),)], "content string")
-    sources = files.select(F.concat(F.lit("source/"), F.col("filename")).alias("path"), "content")
-    parts = [file(master_index(docs, generated_at), "upload_to_ai/00_Master_Index.md"), body, file(indented(manifest(docs, generated_at, kb_name)), "technical/manifest.json"), file(conversion_report(docs), "technical/conversion_report.md"), sources, file(text, "README.txt")]
-    out = parts[0]
-    for p in parts[1:]:
+    """path, part and content (binary) of every file of a package; ``files`` has filename and content of the sources.
+
+    Documents and sources are one row each, without ``part``; index, manifest and report may be several, one after the other.
+    """
+    *own, text = own_pieces(docs, generated_at, kb_name)
+    out = document_entries(docs, files).select("path", F.lit(None).cast("long").alias("part"), "content")
+    for p in (*own, text):
         out = out.unionByName(p)
     return out
 
@@ -284,13 +356,23 @@ def write_folder(found: DataFrame, target: str) -> None:
 
 
 def write_zip(rows: Iterable, target) -> None:
-    """Entries, one after the other, to a ZIP archive with UTF-8 names."""
+    """Entries, one after the other, to a ZIP archive with UTF-8 names; those of one path that have a ``part`` are one file."""
+    out, now = None, None
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for r in rows:
-            info = zipfile.ZipInfo(r["path"])
-            info.flag_bits |= 0x800
-            info.compress_type = zipfile.ZIP_DEFLATED
-            z.writestr(info, bytes(r["content"]))
+        try:
+            for r in rows:
+                part = r["part"] if "part" in r else None
+                if out is None or part is None or r["path"] != now:
+                    if out is not None:
+                        out.close()
+                    info = zipfile.ZipInfo(r["path"])
+                    info.flag_bits |= 0x800
+                    info.compress_type = zipfile.ZIP_DEFLATED
+                    out, now = z.open(info, "w", force_zip64=part is not None or len(r["content"]) > zipfile.ZIP64_LIMIT // 2), r["path"]
+                out.write(bytes(r["content"]))
+        finally:
+            if out is not None:
+                out.close()
 
 
 def package_zip(found: DataFrame) -> bytes:

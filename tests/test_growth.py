@@ -1,8 +1,17 @@
 """Work that must not grow faster than the input: how often, where and in which pieces it is done."""
 
+import io
+import re
+import zipfile
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge import catalogue
+from folioforge.functions import text as T
+from folioforge.operators import cleaning
+from folioforge.plans import package
 
 
 @pytest.mark.parametrize("name", ["pdf_pages", "page_images"])
@@ -11,3 +20,56 @@ def test_files_are_decoded_once_and_by_all_tasks(spark, sf, name):
     assert plan.count("EvalPython [run(") == 1
     # Above the exchange that deals the rows out, not below it.
     assert plan.index("EvalPython [run(") < plan.index("RoundRobinPartitioning")
+
+
+def test_package_files_in_pieces(spark, sf, monkeypatch):
+    """Index, manifest and report are made in pieces of few documents and are end to end what they are as one row."""
+    monkeypatch.setattr(package, "PIECE", 4)
+    docs = catalogue.gated_documents(spark, sf).filter("doc_id < 80")
+    now = "2024-01-01T00:00:00"
+    pieces = {}
+    for found in package.own_pieces(docs, now):
+        for r in found.toLocalIterator():
+            pieces.setdefault(r.path, []).append(bytes(r.content).decode())
+    assert all(len(pieces[p]) > 1 for p in pieces if p != "README.txt")
+    assert "".join(pieces["technical/manifest.json"]) == package.indented(package.manifest(docs, now)).first().content
+    assert "".join(pieces["upload_to_ai/00_Master_Index.md"]) == package.master_index(docs, now).first().content
+    assert "".join(pieces["technical/conversion_report.md"]) == package.conversion_report(docs).first().content
+    for some in ("not validation.is_safe_for_ai", "false"):
+        few = docs.filter(some)
+        made = {}
+        for r in (r for found in package.own_pieces(few, now) for r in found.toLocalIterator()):
+            made[r.path] = made.get(r.path, "") + bytes(r.content).decode()
+        assert made["technical/manifest.json"] == package.indented(package.manifest(few, now)).first().content
+        assert made["technical/conversion_report.md"] == package.conversion_report(few).first().content
+
+
+def test_pieces_are_one_file_of_an_archive():
+    out = io.BytesIO()
+    package.write_zip([{"path": "a", "part": 3, "content": b"x"}, {"path": "a", "part": 9, "content": b"y"}, {"path": "b", "part": None, "content": b"z"}, {"path": "c", "content": b""}], out)
+    with zipfile.ZipFile(out) as z:
+        assert [(i.filename, z.read(i)) for i in z.infolist()] == [("a", b"xy"), ("b", b"z"), ("c", b"")]
+
+
+def test_letters_are_counted_as_the_patterns_do(spark):
+    every = spark.createDataFrame([(chr(i),) for i in range(1, 0x3000)], "text string")
+    marked, plain = f"(?iu)[{T.ACCENTED}]", f"[a-zA-Z{T.ACCENTED}Đ]"
+    assert [r.text for r in every.filter((T.marked_letters(F.col("text")) != F.regexp_count("text", F.lit(marked))) | (T.plain_letters(F.col("text")) != F.regexp_count("text", F.lit(plain)))).collect()] == []
+    found = every.agg(F.sum(T.marked_letters(F.col("text"))).alias("n"))
+    assert found.first().n == 2 * len(T.ACCENTED) and "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_are_reached_by_a_string_that_they_need():
+    """No text goes through the pattern of a test: a word of each rule is looked for instead, and each rule's own finds have it."""
+    for pattern, _ in cleaning.corrections():
+        word = cleaning.needed(pattern)
+        assert len(word) > 1 and re.search(re.escape(word), pattern.replace("\\/", "/").replace("\\.", "."))
+    for pattern, said in [(r"(?U)\bCHƯƠNG\s+\]V\b", "CHƯƠNG  ]V"), (r"(?U)\b1\)?7\s+lO\b", "17 lO"), (r"(?U)\b(?:TS\/|Ty|TS,|TiS)\s+1e\b", "Ty 1e"), (r"(?U)\bch[iI]t luarng\b", "chIt luarng"), (r"(?U)\./[^\s\n]*", "a ./x")]:
+        assert cleaning.needed(pattern) in said
+
+
+def test_batches_are_written_in_parts():
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * 9, None, b"", b"y" * 30, b"z"])], ["content"])
+    parts = [p.column(0).to_pylist() for p in package.slices(batch, "content", rows=2, most=20)]
+    assert parts == [[b"x" * 9, None], [b""], [b"y" * 30], [b"z"]]
+    assert list(package.slices(batch.slice(0, 0), "content")) == []
