@@ -7,11 +7,13 @@ import zipfile
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pdf_files import simple
 
 from folioforge import catalogue
 from folioforge.functions import text as T
 from folioforge.operators import cleaning
 from folioforge.plans import package
+from folioforge.sources import decoders, pdf
 
 
 @pytest.mark.parametrize("name", ["pdf_pages", "page_images"])
@@ -73,3 +75,10 @@ def test_batches_are_written_in_parts():
     parts = [p.column(0).to_pylist() for p in package.slices(batch, "content", rows=2, most=20)]
     assert parts == [[b"x" * 9, None], [b""], [b"y" * 30], [b"z"]]
     assert list(package.slices(batch.slice(0, 0), "content")) == []
+
+
+def test_pdf_files_are_parsed_once(monkeypatch):
+    parsed, file = [], pdf.File
+    monkeypatch.setattr(pdf, "File", lambda data: parsed.append(len(data)) or file(data))
+    found = decoders.decode_one("a.pdf", simple(["one", "two"]), decoders.DECODERS, None)
+    assert [p["text_layer"] for p in found["pages"]] == ["one", "two"] and len(parsed) == 1
