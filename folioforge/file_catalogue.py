@@ -22,6 +22,7 @@ from .operators import cleaning, metadata, quality
 from .plans import convert, package
 from .sources import decoders, images, pdf
 from .sources import files as sources
+from .sources.archives import zipped
 from .streaming import ingest
 
 
@@ -113,11 +114,10 @@ def _docx(title: pd.Series, text: pd.Series, cell: pd.Series) -> pd.Series:
         p = lambda t, style: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
         grid = "".join("<w:tr>" + "".join(f"<w:tc>{p(x, '')}</w:tc>" for x in r) + "</w:tr>" for r in (["Ma", ""], [c, "a|b"]))
         body = p(a, "H1") + p(b, "LB") + p("", "") + p("1. Quy định", "") + p("1.2. nhỏ", "") + f"<w:tbl>{grid}</w:tbl>" + p(b, "")
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
-            z.writestr("word/styles.xml", f'<w:styles xmlns:w="{w}"><w:style w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:styleId="LB"><w:name w:val="List Bullet"/></w:style></w:styles>')
-        return out.getvalue()
+        return zipped({
+            "word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>',
+            "word/styles.xml": f'<w:styles xmlns:w="{w}"><w:style w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:styleId="LB"><w:name w:val="List Bullet"/></w:style></w:styles>',
+        }, deflate=False)
 
     return pd.Series([one(*x) for x in zip(title, text, cell)])
 
@@ -142,15 +142,10 @@ def _xlsx(key: pd.Series, text: pd.Series) -> pd.Series:
     """Workbooks of two sheets, of which one is blank, with an empty row; every third lacks its list of sheets."""
 
     def one(k: int, t: str) -> bytes:
-        made = decoders.xlsx_of({"So lieu": [["Ma", "Ten"], ["", " "], [str(k), t]], "Trong": [["", ""]]})
+        sheets = {"So lieu": [["Ma", "Ten"], ["", " "], [str(k), t]], "Trong": [["", ""]]}
         if k % 3:
-            return made
-        out = io.BytesIO()
-        with zipfile.ZipFile(io.BytesIO(made)) as z, zipfile.ZipFile(out, "w") as o:
-            for n in z.namelist():
-                if n != "xl/workbook.xml":
-                    o.writestr(n, z.read(n))
-        return out.getvalue()
+            return decoders.xlsx_of(sheets)
+        return zipped({n: part for n, part in decoders.xlsx_parts(sheets).items() if n != "xl/workbook.xml"}, deflate=False)
 
     return pd.Series([one(*x) for x in zip(key, text)])
 

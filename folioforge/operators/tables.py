@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 
 def clean_cell(cell: Column) -> Column:
-    c = F.regexp_replace(F.coalesce(cell, F.lit("")), "[\n\r]", " ")
+    c = F.translate(F.coalesce(cell, F.lit("")), "\n\r", "  ")
     return strip(F.replace(c, F.lit("|"), F.lit("\\|")))
 
 
@@ -20,13 +20,19 @@ def drop_empty_rows(rows: Column) -> Column:
 
 def markdown_table(rows: Column) -> Column:
     """Header, rule and data rows; an all-empty first row gets numbered column names and stays as data."""
-    clean = F.transform(rows, lambda r: F.transform(r, clean_cell))
-    width = F.coalesce(F.array_max(F.transform(clean, F.size)), F.lit(0))
-    padded = F.transform(clean, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    first = F.get(padded, F.lit(0))
-    empty = F.forall(first, lambda c: c == "")
-    header = F.when(empty, F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("Cột "), i.cast("string")))).otherwise(first)
-    body = F.when(empty, padded).otherwise(F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(0))))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    table = F.array_join(F.concat(F.array(line(header), line(F.array_repeat(F.lit("---"), width))), F.transform(body, line)), "\n")
-    return F.when(F.coalesce(width, F.lit(0)) > 0, table).otherwise("")
+
+    # In lambdas every use of an expression is a computation: cells, width, rows and the test of the first row are bound once.
+    def table(padded: Column, width: Column) -> Column:
+        def whole(empty: Column) -> Column:
+            header = F.when(empty, F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("Cột "), i.cast("string")))).otherwise(F.get(padded, F.lit(0)))
+            body = F.when(empty, padded).otherwise(F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(0))))
+            return F.array_join(F.concat(F.array(line(header), line(F.array_repeat(F.lit("---"), width))), F.transform(body, line)), "\n")
+
+        return let(F.forall(F.get(padded, F.lit(0)), lambda c: c == ""), whole)
+
+    def sized(clean: Column, width: Column) -> Column:
+        padded = F.transform(clean, lambda r: F.when(F.size(r) == width, r).otherwise(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
+        return F.when(width > 0, let(padded, lambda p: table(p, width))).otherwise("")
+
+    return let(F.transform(rows, lambda r: F.transform(r, clean_cell)), lambda clean: let(F.coalesce(F.array_max(F.transform(clean, F.size)), F.lit(0)), lambda width: sized(clean, width)))

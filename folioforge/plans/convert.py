@@ -37,8 +37,10 @@ def blocks_markdown(filename: Column, kind: Column, blocks: Column) -> tuple[Col
     body = F.transform(blocks, lambda b: F.when(b["kind"] == "table", table(b)).otherwise(paragraph_markdown(b["style"], b["text"])))
     docx = strip(F.array_join(body, "\n"))
     raw = strip(F.array_join(F.flatten(F.transform(blocks, lambda b: F.when(b["kind"] == "table", F.flatten(b["rows"])).otherwise(F.array(b["text"])))), "\n"))
-    filled = F.filter(blocks, lambda b: F.size(drop_empty_rows(b["rows"])) > 0)
-    sheet = lambda b: F.concat(F.lit("## Sheet: "), b["text"], F.lit("\n\n"), markdown_table(drop_empty_rows(b["rows"])), F.lit("\n\n"))
+    # Rows that aren't empty are worked out once for the test and the table.
+    kept = F.transform(blocks, lambda b: F.struct(b["text"].alias("text"), drop_empty_rows(b["rows"]).alias("rows")))
+    filled = F.filter(kept, lambda b: F.size(b["rows"]) > 0)
+    sheet = lambda b: F.concat(F.lit("## Sheet: "), b["text"], F.lit("\n\n"), markdown_table(b["rows"]), F.lit("\n\n"))
     xlsx = strip(F.array_join(F.concat(F.array(F.concat(F.lit("# File: "), filename, F.lit("\n"))), F.transform(filled, sheet)), "\n"))
     # The text of a workbook is its Markdown.
     is_book = kind == "xlsx"

@@ -11,9 +11,9 @@ from pdf_files import simple
 
 from folioforge import catalogue
 from folioforge.functions import text as T
-from folioforge.operators import cleaning
+from folioforge.operators import cleaning, tables
 from folioforge.plans import package
-from folioforge.sources import decoders, pdf
+from folioforge.sources import archives, decoders, pdf
 
 
 @pytest.mark.parametrize("name", ["pdf_pages", "page_images"])
@@ -82,3 +82,52 @@ def test_pdf_files_are_parsed_once(monkeypatch):
     monkeypatch.setattr(pdf, "File", lambda data: parsed.append(len(data)) or file(data))
     found = decoders.decode_one("a.pdf", simple(["one", "two"]), decoders.DECODERS, None)
     assert [p["text_layer"] for p in found["pages"]] == ["one", "two"] and len(parsed) == 1
+
+
+def test_parts_of_archives_are_those_of_zipfile():
+    """What the short way reads, and what it leaves to ``zipfile``, has that module's contents and errors."""
+
+    def made(packing: int, comment: bytes = b"", names: tuple[str, ...] = ("a.xml", "b/c.xml")) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", packing) as z:
+            for i, n in enumerate(names):
+                z.writestr(n, f"{n}{i} " * 50)
+            z.comment = comment
+        return out.getvalue()
+
+    def said(read):
+        try:
+            return read()
+        except Exception as e:
+            return type(e), str(e)
+
+    stored, packed = made(zipfile.ZIP_STORED), made(zipfile.ZIP_DEFLATED)
+    at = packed.index(b"a.xml") + 8
+    odd = [stored, packed, made(zipfile.ZIP_LZMA), made(8, b"note"), made(8, names=("ạ.xml", "a.xml")), made(8, names=()), b"junk" + packed, packed + b"junk", packed[:-30], b"PK", b"", packed[:at] + b"\xff\xff" + packed[at + 2 :], stored.replace(b"a.xml0 a", b"a.xml0 b", 1), stored.replace(b"a.xml", b"x.xml", 1)]
+    odd.append(archives.zipped({"a.xml": "ạ" * 9, "b/c.xml": ""}))
+    odd.append(archives.zipped({"a.xml": "x", "ạ": "y"}, deflate=False))
+    for content in odd:
+        theirs = lambda name, c=content: zipfile.ZipFile(io.BytesIO(c)).read(name)
+        ours = lambda name, c=content: archives.Parts(c).read(name)
+        for name in ("a.xml", "b/c.xml", "ạ.xml", "none"):
+            assert said(lambda: ours(name)) == said(lambda: theirs(name))
+        assert said(lambda c=content: archives.Parts(c).names) == said(lambda c=content: zipfile.ZipFile(io.BytesIO(c)).namelist())
+    assert archives.Parts(stored).whole is None and archives.Parts(packed).whole is None
+
+
+def test_shared_parts_are_parsed_once(monkeypatch):
+    """Styles, relations and lists of sheets that come again in the next file are not parsed again."""
+    book = lambda x: decoders.xlsx_of({"Một": [["a", x]], "Hai": []})
+    one, two = book("b"), book("c")
+    assert decoders.xlsx(one)["blocks"][0]["rows"] == [["a", "b"]]
+    parsed, parse = [], decoders.ElementTree.fromstring
+    monkeypatch.setattr(decoders.ElementTree, "fromstring", lambda raw: parsed.append(raw) or parse(raw))
+    assert [(b["text"], b["rows"]) for b in decoders.xlsx(two)["blocks"]] == [("Một", [["a", "c"]]), ("Hai", [])]
+    assert len(parsed) == 2  # the two sheets
+
+
+def test_cells_of_a_table_are_cleaned_once(spark):
+    rows = spark.createDataFrame([([["a|b", None], ["c\nd"], None],), ([["", " "], ["x"]],), ([],), (None,)], "rows array<array<string>>")
+    found = rows.select(tables.markdown_table(F.col("rows")).alias("md"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("\\|") == 1
+    assert [r.md for r in found.collect()] == ["| a\\|b |  |\n| --- | --- |\n| c d |  |", "| Cột 1 | Cột 2 |\n| --- | --- |\n|  |  |\n| x |  |", "", ""]
