@@ -427,11 +427,12 @@ def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` as files of text, through normalisation, structure, metadata and gate."""
-    from .sources.decoders import DECODED
+    from .sources.decoders import PAGE
 
     block = F.struct(F.lit("paragraph").alias("kind"), F.lit("verbatim").alias("style"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))
-    decoded = F.struct(F.lit("text").alias("kind"), F.lit("").alias("own_title"), F.lit("").alias("first_heading"), F.array(block).alias("blocks"), F.array().alias("pages"), F.lit(False).alias("converted_via_legacy"), F.lit(False).alias("repaired"), F.lit(None).cast("string").alias("error"))
-    files = sources.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".docx")).alias("filename"), F.col("doc_id").alias("ordinal"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), decoded.cast(DECODED).alias("decoded"))
+    # No cast of the whole: through one the optimizer doesn't see that the kind is fixed, and reads all documents again for the pages of PDF files.
+    decoded = F.struct(F.lit("text").alias("kind"), F.lit("").alias("own_title"), F.lit("").alias("first_heading"), F.array(block).alias("blocks"), F.array().cast(f"array<{PAGE}>").alias("pages"), F.lit(False).alias("converted_via_legacy"), F.lit(False).alias("repaired"), F.lit(None).cast("string").alias("error"))
+    files = sources.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".docx")).alias("filename"), F.col("doc_id").alias("ordinal"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), decoded.alias("decoded"))
     return convert.documents(convert.bodies(files, store=False), "2024-01-01")
 
 

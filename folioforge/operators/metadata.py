@@ -79,15 +79,29 @@ def document_id(filename: Column) -> Column:
     return first_nonempty(F.upper(F.regexp_replace(s, "^-+|-+$", "")), F.lit("DOC"))
 
 
-def _type(capitals: Column) -> Column:
-    words = lambda patterns: [p.removeprefix(r"^\s*").replace(r"\b", "") for p in patterns]
-    cases = [(_has(capitals, *words(patterns)) & capitals.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns)), name) for name, patterns in TYPES]
+def _type(caps: Column) -> Column:
+    def fits(pattern: str) -> Column:
+        # Its letters are looked for first, then where they are: a test of word ends at every character is dear.
+        word = pattern.removeprefix(r"^\s*").replace(r"\b", "")
+        return caps.contains(word) & caps.rlike("(?U)" + (pattern if pattern.startswith("^") else f"(?={word}){pattern}"))
+
+    cases = [(reduce(lambda a, b: a | b, map(fits, patterns)), name) for name, patterns in TYPES]
     return reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0]))
 
 
-def document_type(filename: Column, text: Column) -> Column:
-    head = F.upper(F.left(text, F.lit(3000)))
-    return F.coalesce(_type(F.upper(filename)), _type(head), F.when(_has(_folded(head), "kính gửi", "kinh gui", "v/v", "về việc", "ve viec") & head.rlike("(?iuU)" + DISPATCH), "CV"), F.lit(""))
+def capitals(text: Column) -> Column:
+    """The first 3000 characters in capitals."""
+    return F.upper(F.left(text, F.lit(3000)))
+
+
+def document_type(filename: Column, text: Column, caps: Column | None = None) -> Column:
+    """``caps``: :func:`capitals` of the text, which callers of several rules work out once."""
+
+    def of(head: Column) -> Column:
+        dispatched = let(_folded(head), lambda low: _has(low, "kính gửi", "kinh gui", "v/v", "về việc", "ve viec"))
+        return F.coalesce(let(F.upper(filename), _type), _type(head), F.when(dispatched & head.rlike("(?iuU)" + DISPATCH), "CV"), F.lit(""))
+
+    return let(capitals(text), of) if caps is None else of(caps)
 
 
 def header(text: Column) -> Column:
@@ -102,10 +116,11 @@ def _standard(number: Column) -> Column:
 
 def document_number(text: Column, filename: Column, head: Column | None = None) -> Column:
     named = _standard(F.regexp_replace(F.regexp_extract(filename, NUMBER_IN_NAME, 1), r"(?U)^(\d+)[-_]([A-Za-zĐđ]+)", "$1/$2"))
-    found = F.regexp_replace(F.regexp_extract(header(text) if head is None else head, NUMBER_IN_HEADER, 1), r"(?U)\s+", "")
+    head = header(text) if head is None else head
+    found = F.when(head.rlike(r"(?U)[0-9]\s*[/-]"), F.regexp_replace(F.regexp_extract(head, NUMBER_IN_HEADER, 1), r"(?U)\s+", "")).otherwise("")
     found = F.regexp_replace(found, rf"(?iuU)^(\d+)[-_]({KINDS})", "$1/$2")
     found = F.when(F.length(found) >= 4, _standard(found)).otherwise("")
-    listed = _has(text, *[f"/{k}-" for k in ("VNPT", "QĐ", "TT", "TB", "BC", "HD", "NQ", "QD", "CV")])
+    listed = text.contains("/") & _has(text, *[f"/{k}-" for k in ("VNPT", "QĐ", "TT", "TB", "BC", "HD", "NQ", "QD", "CV")])
     rest = F.array_join(F.slice(F.filter(all_lines(text), lambda x: ~x.rlike(GROUNDS)), 1, 60), "\n")
     return first_nonempty(named, found, F.when(listed, _standard(F.regexp_extract(rest, NUMBER_IN_TEXT, 1))))
 
@@ -135,7 +150,8 @@ def issued_date(text: Column, filename: Column, low: Column | None = None, head:
     head = F.when(dated, _iso(header(text) if head is None else head, DAY_IN_HEADER, 3, 2, 1)).otherwise("")
     name = first_nonempty(_iso(filename, ISO_IN_NAME, 1, 2, 3), _iso(filename, DMY_IN_NAME, 3, 2, 1))
     # A file name that agrees in year and month has the better day.
-    sure = F.when((name != "") & ((head == "") | (F.left(head, F.lit(7)) == F.left(name, F.lit(7)))), name).otherwise(head)
+    agreed = lambda n, h: F.when((n != "") & ((h == "") | (F.left(h, F.lit(7)) == F.left(n, F.lit(7)))), n).otherwise(h)
+    sure = let(name, lambda n: let(head, lambda h: agreed(n, h)))
     return first_nonempty(sure, F.when(dated, _iso(text, DAY_IN_TEXT, 3, 2, 1)), F.translate(_extract(_has(low, "ngày", "date"), text, ISSUED), "-.", "//"))
 
 
@@ -145,8 +161,8 @@ def effective_date(text: Column, issued: Column, low: Column | None = None) -> C
     return F.when(_has(low, "hiệu lực", "hieu luc") & _has(low, "ngày ký", "ngay ky") & text.rlike(FROM_SIGNING), issued).otherwise(F.translate(named, "-.", "//"))
 
 
-def status(text: Column) -> Column:
-    head = F.upper(F.left(text, F.lit(3000)))
+def status(text: Column, caps: Column | None = None) -> Column:
+    head = capitals(text) if caps is None else caps
     return reduce(lambda c, x: c.when(head.contains(x[0]), x[1]), STATUSES[1:], F.when(head.contains(STATUSES[0][0]), STATUSES[0][1])).otherwise("")
 
 
@@ -176,27 +192,30 @@ def subject(text: Column) -> Column:
 
     first = F.struct(F.lit(False).alias("on"), F.lit(False).alias("over"), empty.alias("parts"))
     joined = F.aggregate(all_lines(F.left(text, F.lit(2500))), first, add, lambda acc: F.array_join(acc["parts"], " "))
-    joined = F.when(_has(_folded(F.left(text, F.lit(2500))), "v/v", "về việc", "ve viec"), joined).otherwise("")
-    whole = rstrip(strip(joined), ".")
-    quoted = strip(F.regexp_extract(whole, "[“\"']([^”\"']{10,})[”\"']", 1))
-    bare = F.regexp_replace(whole, "(?U)^[“\"'\\s]+|[”\"'\\s]+$", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, "(?iuU)^(?:Ban hành|Ban hanh)\\s*[“\"'\\s]*", ""), "(?U)[”\"'\\s]+$", "")
-    return F.when(quoted != "", quoted).when(F.length(bare) > 5, bare).otherwise("")
+    said = let(_folded(F.left(text, F.lit(2500))), lambda low: _has(low, "v/v", "về việc", "ve viec"))
+
+    def cut(whole: Column) -> Column:
+        quoted = strip(F.regexp_extract(whole, "[“\"']([^”\"']{10,})[”\"']", 1))
+        bare = F.regexp_replace(whole, "(?U)^[“\"'\\s]+|[”\"'\\s]+$", "")
+        bare = F.regexp_replace(F.regexp_replace(bare, "(?iuU)^(?:Ban hành|Ban hanh)\\s*[“\"'\\s]*", ""), "(?U)[”\"'\\s]+$", "")
+        return F.when(quoted != "", quoted).when(F.length(bare) > 5, bare).otherwise("")
+
+    return F.when(said, let(rstrip(strip(joined), "."), cut)).otherwise("")
 
 
 def title(filename: Column, text: Column, own_title: Column | None = None, first_heading: Column | None = None) -> Column:
     """The file's own title, its first heading, the subject, a title in capitals, the first Markdown heading, or the file name."""
     own = strip(F.coalesce(own_title, F.lit(""))) if own_title is not None else F.lit("")
     head = strip(F.coalesce(first_heading, F.lit(""))) if first_heading is not None else F.lit("")
-    capitals = strip(_extract(_has(text, "QUY ĐỊNH", "QUY CHẾ", "QUY TRÌNH", "BỘ CHỈ TIÊU", "HƯỚNG DẪN", "THÔNG TƯ"), F.left(text, F.lit(2500)), TITLE_IN_CAPITALS))
-    marked = F.filter(F.transform(first_lines(text, 20), strip), lambda x: x.startswith("# ") | x.startswith("## "))
+    shouted = let(F.left(text, F.lit(2500)), lambda x: strip(_extract(_has(x, "QUY ĐỊNH", "QUY CHẾ", "QUY TRÌNH", "BỘ CHỈ TIÊU", "HƯỚNG DẪN", "THÔNG TƯ"), x, TITLE_IN_CAPITALS)))
+    marked = F.when(text.contains("# "), F.filter(F.transform(first_lines(text, 20), strip), lambda x: x.startswith("# ") | x.startswith("## ")))
     marked = F.filter(F.transform(marked, lambda x: strip(F.regexp_replace(x, "^[# ]+", ""))), lambda x: (F.length(x) > 5) & (x != "QUYẾT ĐỊNH"))
     name = F.regexp_replace(stem(filename), r"(?U)^\d{4}[-_.]\d{1,2}[-_.]\d{1,2}\s*", "")
     name = F.regexp_replace(name, rf"(?iuU)^\d+[-/](?:{KINDS})[-_/][A-Za-z0-9\-_/Đđ]+\s*", "")
     name = strip(F.regexp_replace(F.regexp_replace(name, r"(?U)^[_\-\s]+|[_\-\s]+$", ""), "[-_]+", " "))
     return first_nonempty(
-        F.when(F.length(own) > 3, own), head, subject(text), F.when(F.length(capitals) > 10, capitals), F.coalesce(F.get(marked, F.lit(0)), F.lit("")),
-        F.when(F.length(name) > 3, name), F.translate(stem(filename), "_-", "  "),
+        F.when(F.length(own) > 3, own), head, subject(text), let(shouted, lambda x: F.when(F.length(x) > 10, x)), F.coalesce(F.get(marked, F.lit(0)), F.lit("")),
+        let(name, lambda x: F.when(F.length(x) > 3, x)), F.translate(stem(filename), "_-", "  "),
     )
 
 
@@ -221,17 +240,17 @@ def with_metadata(df: DataFrame, filename: str, markdown: str, source: str, sha2
     """
     c, name = F.col, F.col(filename)
     d = df.withColumn("__pages", pages if isinstance(pages, Column) else c(pages)).withColumn("__text", first_nonempty(c(source), c(markdown)))
-    d = d.withColumns({"__low": _folded(c("__text")), "__head": header(c("__text"))})
+    d = d.withColumns({"__low": _folded(c("__text")), "__head": header(c("__text")), "__caps": capitals(c("__text"))})
     d = d.withColumns({"__number": document_number(c("__text"), name, c("__head")), "__issued": issued_date(c("__text"), name, c("__low"), c("__head")), "__md": F.length(markdown), "__src": F.length(source)})
     d = d.withColumn("__src", F.when(c("__src") > 0, c("__src")).otherwise(c("__md")))
     values = {
-        "document_id": document_id(name), "source_file": name, "title": title(name, c(markdown), own_title, first_heading), "document_type": document_type(name, c("__text")),
-        "organization": F.lit(organization), "unit": unit(c("__text"), c("__number"), c("__low")), "version": version(name, c("__text"), c("__low")), "document_status": status(c("__text")), "document_number": c("__number"),
+        "document_id": document_id(name), "source_file": name, "title": title(name, c(markdown), own_title, first_heading), "document_type": document_type(name, c("__text"), c("__caps")),
+        "organization": F.lit(organization), "unit": unit(c("__text"), c("__number"), c("__low")), "version": version(name, c("__text"), c("__low")), "document_status": status(c("__text"), c("__caps")), "document_number": c("__number"),
         "issued_date": c("__issued"), "effective_date": effective_date(c("__text"), c("__issued"), c("__low")), "supersedes": F.lit(""), "superseded_by": F.lit(""), "scope": scope(c("__text"), c("__number")),
         "language": F.lit(language), "conversion_date": F.lit(conversion_date), "converter_version": F.lit(converter_version), "source_sha256": c(sha256),
         "page_count": F.greatest(F.lit(1), c("__pages")).cast("int"), "source_text_char_count": c("__src"), "markdown_text_char_count": c("__md"), "text_retention_ratio": retention(c("__md"), c("__src")),
     }
-    d = d.withColumns({prefix + k: v for k, v in values.items()}).drop("__pages", "__text", "__low", "__head", "__number", "__issued", "__md", "__src")
+    d = d.withColumns({prefix + k: v for k, v in values.items()}).drop("__pages", "__text", "__low", "__head", "__caps", "__number", "__issued", "__md", "__src")
     return d, {k: F.col(prefix + k) for k in KEYS}
 
 

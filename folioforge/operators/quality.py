@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import strip, strip_text
 
 PASS_SHARE, WARN_SHARE, MIN_BODY, HASH_CHARS = 0.90, 0.75, 20, 64
 
 
 def body_of(markdown: Column) -> Column:
     """The text after the front matter, if there is one."""
-    parts = F.split(markdown, "---", 3)
-    return F.when(strip(markdown).startswith("---") & (F.size(parts) >= 3), strip(F.get(parts, F.lit(2)))).otherwise(markdown)
+    rule = F.lit("---")
+    end = F.position(rule, markdown, F.position(rule, markdown) + 3)
+    return F.when(strip_text(markdown).startswith("---") & (end > 0), strip_text(markdown.substr(end + 3, F.lit(2**31 - 1)))).otherwise(markdown)
 
 
 def with_gate(df: DataFrame, markdown: str, meta: Column | dict[str, Column], paginated: Column, pure_ocr: Column, out: str = "validation") -> DataFrame:
@@ -29,10 +30,10 @@ def with_gate(df: DataFrame, markdown: str, meta: Column | dict[str, Column], pa
 
 def text_tests(markdown: Column, meta: Column | dict[str, Column]) -> dict[str, Column]:
     no_nul = ~markdown.contains("\x00")
-    filled = F.length(strip(body_of(markdown))) > MIN_BODY
+    filled = F.length(strip_text(body_of(markdown))) > MIN_BODY
     named = (strip(meta["source_file"]) != "") & (strip(meta["title"]) != "")
-    headed = markdown.rlike(r"(?mU)^#{1,6}\s+")
-    s = strip(markdown)
+    headed = markdown.contains("#") & markdown.rlike(r"(?mU)^#{1,6}\s+")
+    s = strip_text(markdown)
     fenced = s.startswith("```") & s.endswith("```") & (F.regexp_count(s, F.lit("```")) == 2)
     base64 = markdown.rlike(r"data:image/[a-zA-Z]+;base64,[A-Za-z0-9+/=]{200,}")
     marked = markdown.contains("<!-- source_page:") | markdown.contains("<!-- Page")

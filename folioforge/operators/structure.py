@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import lines, slugify, strip
+from ..functions.text import let, lines, slugify, strip
 
 # Openings of administrative headings: pattern, heading mark, length below which it holds (0: any).
 HEADINGS = [
@@ -19,6 +19,8 @@ HEADINGS = [
     (r"(?iuU)^Mục\s+([IVXLCDM]+|\d+|[A-Z])[.:\s]", "###", 0),
     (r"(?iuU)^Điều\s+\d+[.:\s\-]", "###", 0),
 ]
+#: What a text with any such opening has at the start of a line.
+OPENS = r"(?iuUdm)^[\s\x1C-\x1F&&[^\n]]*+(?:QUY|BẢN|NGUYÊN|CHÍNH|CHƯƠNG|PHẦN|PHỤ|MỤC|ĐIỀU)"
 PAGE_MARK = r"(?i)<!--\s*(?:source_page|Page)[\s:]*(\d+)[^>]*-->"
 HEADING = r"(?d)^(#{1,6})(?U:\s)+(.+)$"
 
@@ -44,7 +46,9 @@ def format_structure(text: Column) -> Column:
     stripped = F.transform(lines(text), lambda line: F.struct(line.alias("line"), strip(line).alias("s")))
     marked = F.transform(stripped, lambda x: F.struct(x["line"].alias("line"), x["s"].alias("s"), _mark(x["s"]).alias("mark")))
     made = F.transform(marked, lambda x: F.when(x["mark"] == "", x["line"]).otherwise(F.concat(F.lit("\n"), x["mark"], F.lit(" "), x["s"], F.lit("\n"))))
-    return F.regexp_replace(F.array_join(made, "\n"), "\n{3,}", "\n\n")
+    # Lines are looked at one by one only in texts that have an opening.
+    joined = F.when(text.rlike(OPENS), F.array_join(made, "\n")).otherwise(text)
+    return let(joined, lambda t: F.when(t.contains("\n\n\n"), F.regexp_replace(t, "\n{3,}", "\n\n")).otherwise(t))
 
 
 def page_of(line: Column) -> Column:
@@ -98,15 +102,19 @@ def sections(markdown: Column) -> Column:
 
 def anchored(markdown: Column, found: Column) -> Column:
     """The text with an anchor line before every heading, ids taken from ``found`` in order."""
-    parted = F.transform(lines(markdown), lambda line: F.struct(line.alias("line"), heading_parts(line)[0].alias("level"), heading_parts(line)[1].alias("title")))
-    # The text between two headings goes with the one before it: heading lines cut the lines into parts.
-    places = F.filter(F.transform(parted, lambda x, i: F.when(x["level"] > 0, i)), lambda i: i.isNotNull())
-
-    def part(i: Column, n: Column) -> Column:
-        head = F.get(parted, i)
-        anchor = F.concat(F.lit('<a id="'), F.get(found, n)["id"], F.lit('"></a>\n'), F.repeat(F.lit("#"), head["level"]), F.lit(" "), head["title"])
-        rest = F.transform(F.slice(parted, i + 2, F.coalesce(F.get(places, n + 1), F.size(parted)) - i - 1), lambda x: x["line"])
-        return F.array_join(F.concat(F.array(anchor), rest), "\n")
-
-    before = F.transform(F.slice(parted, 1, F.coalesce(F.get(places, F.lit(0)), F.size(parted))), lambda x: x["line"])
-    return F.array_join(F.concat(F.when(F.size(before) > 0, F.array(F.array_join(before, "\n"))).otherwise(F.array().cast("array<string>")), F.transform(places, part)), "\n")
+    cut = F.transform(lines(markdown), lambda line: F.struct(line.alias("line"), heading_parts(line)[0].alias("level"), heading_parts(line)[1].alias("title")))
+
+    # The text between two headings goes with the one before it: heading lines cut the lines into parts. Lines and places are bound once, not for every heading.
+    def whole(parted: Column, places: Column) -> Column:
+        def part(i: Column, n: Column) -> Column:
+            head = F.get(parted, i)
+            anchor = F.concat(F.lit('<a id="'), F.get(found, n)["id"], F.lit('"></a>\n'), F.repeat(F.lit("#"), head["level"]), F.lit(" "), head["title"])
+            rest = F.transform(F.slice(parted, i + 2, F.coalesce(F.get(places, n + 1), F.size(parted)) - i - 1), lambda x: x["line"])
+            return F.array_join(F.concat(F.array(anchor), rest), "\n")
+
+        before = F.transform(F.slice(parted, 1, F.coalesce(F.get(places, F.lit(0)), F.size(parted))), lambda x: x["line"])
+        return F.array_join(F.concat(F.when(F.size(before) > 0, F.array(F.array_join(before, "\n"))).otherwise(F.array().cast("array<string>")), F.transform(places, part)), "\n")
+
+    headed = markdown.startswith("#") | markdown.contains("\n#")
+    places = lambda parted: F.filter(F.transform(parted, lambda x, i: F.when(x["level"] > 0, i)), lambda i: i.isNotNull())
+    return F.when(headed, let(cut, lambda parted: let(places(parted), lambda at: whole(parted, at)))).otherwise(markdown)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_boundaries, normalize_encoding, strip, word_count
+from ..functions.text import clean_boundaries, normalize_encoding, strip, strip_text, word_count
 from ..operators import metadata as M
 from ..operators.cleaning import process_recognised
 from ..operators.pages import low_confidence_warning, merge_pages, needs_ocr, recognised_page
@@ -35,8 +35,8 @@ def blocks_markdown(filename: Column, kind: Column, blocks: Column) -> tuple[Col
     """Markdown and source text of a file's blocks."""
     table = lambda b: F.concat(F.lit("\n"), markdown_table(b["rows"]), F.lit("\n"))
     body = F.transform(blocks, lambda b: F.when(b["kind"] == "table", table(b)).otherwise(paragraph_markdown(b["style"], b["text"])))
-    docx = strip(F.array_join(body, "\n"))
-    raw = strip(F.array_join(F.flatten(F.transform(blocks, lambda b: F.when(b["kind"] == "table", F.flatten(b["rows"])).otherwise(F.array(b["text"])))), "\n"))
+    docx = strip_text(F.array_join(body, "\n"))
+    raw = strip_text(F.array_join(F.flatten(F.transform(blocks, lambda b: F.when(b["kind"] == "table", F.flatten(b["rows"])).otherwise(F.array(b["text"])))), "\n"))
     # Rows that aren't empty are worked out once for the test and the table.
     kept = F.transform(blocks, lambda b: F.struct(b["text"].alias("text"), drop_empty_rows(b["rows"]).alias("rows")))
     filled = F.filter(kept, lambda b: F.size(b["rows"]) > 0)

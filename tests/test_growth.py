@@ -11,7 +11,7 @@ from pdf_files import simple
 
 from folioforge import catalogue
 from folioforge.functions import text as T
-from folioforge.operators import cleaning, tables
+from folioforge.operators import cleaning, metadata, structure, tables
 from folioforge.plans import package
 from folioforge.sources import archives, decoders, pdf
 
@@ -131,3 +131,43 @@ def test_cells_of_a_table_are_cleaned_once(spark):
     found = rows.select(tables.markdown_table(F.col("rows")).alias("md"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("\\|") == 1
     assert [r.md for r in found.collect()] == ["| a\\|b |  |\n| --- | --- |\n| c d |  |", "| Cột 1 | Cột 2 |\n| --- | --- |\n|  |  |\n| x |  |", "", ""]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_conversion_reads_documents_once(spark, sf):
+    """No branch for pages of PDF files is left for texts, and capitals for the document type are made once."""
+    plan = _plan(catalogue.converted_documents(spark, sf))
+    assert plan.count("Relation [") + plan.count("Relation[") == 1 and "Join" not in plan
+    assert plan.count("upper(") < 20  # 238 before
+
+
+def test_steps_over_whole_texts_are_done_once(spark):
+    """Lines for anchors are cut once, not for each heading; words are counted, not listed; a text without blank ends is not walked by a trim."""
+    said = ["", " \u3000", "a", " a\u2003b\u00a0c ", "#*|a|*", "x\U0001f600y \U0001f600", "\u1680\u3000\x1c", "a\u2028b\x85c`d`", "từ\x1fngữ [a](b)"]
+    texts = spark.createDataFrame([(x,) for x in said], "text string")
+    words = texts.select("text", T.word_count(F.col("text")).alias("n"))
+    assert [r.n for r in words.collect()] == [len(re.sub(r"[#*`_~\[\]()><!|]", " ", r.text).split()) for r in words.collect()]
+    assert "split(" not in _plan(words)
+    ends = texts.select("text", T.strip_text(F.col("text")).alias("s"))
+    assert [r.s for r in ends.collect()] == [x.strip() for x in said]
+    anchored = spark.createDataFrame([("x\n# A\ny\n## B\n",)], "md string").select(structure.anchored(F.col("md"), structure.sections(F.col("md"))).alias("md"))
+    assert anchored.first().md == 'x\n<a id="sec-a"></a>\n# A\ny\n<a id="sec-b"></a>\n## B\n'
+    plan = _plan(spark.createDataFrame([("x",)], "md string").select(structure.anchored(F.col("md"), F.array().cast("array<struct<id:string>>")).alias("md")))
+    assert plan.count("split(") == 1
+
+
+def test_openings_and_types_behind_their_tests(spark):
+    """Every heading and document type is found behind the cheap tests, in any place, and words inside others are none."""
+    heads = ["QUYẾT ĐỊNH", "Quy chế", "bản cam kết", "NGUYÊN TẮC", "chính sách", "Chương IV", "PHẦN 2", "phụ lục 3", "Mục A.", "điều 5."]
+    texts = spark.createDataFrame([(b + h,) for h in heads for b in ("", "x\n \u3000", "\n\n\t")] + [("x QUY CHẾ",), ("\r\u2028x",)], "text string")
+    found = [r.t for r in texts.select(structure.format_structure(F.col("text")).alias("t")).collect()]
+    assert ["#" in t for t in found] == [True] * 3 * len(heads) + [False] * 2
+    words = [(name, p.removeprefix(r"^\s*").replace(r"\b", ""), p.startswith("^")) for name, patterns in metadata.TYPES for p in patterns]
+    rows = spark.createDataFrame([(n, w, f"{'' if first else 'a b, '}{w}.", f"a{w}b") for n, w, first in words], "name string, word string, inside string, part string")
+    kinds = {name for name, _ in metadata.TYPES}
+    for r in rows.select("name", "word", metadata.document_type(F.lit("x"), F.col("inside")).alias("a"), metadata.document_type(F.lit("x"), F.col("part")).alias("b")).collect():
+        assert r.a in kinds and (r.a == r.name or r.word.startswith(("QUY", "HƯỚNG", "HUONG")))
+        assert r.b == ""
