@@ -2,6 +2,7 @@
 
 import io
 import re
+import weakref
 import zipfile
 
 import pyarrow as pa
@@ -126,6 +127,34 @@ def test_shared_parts_are_parsed_once(monkeypatch):
     assert len(parsed) == 2  # the two sheets
 
 
+def test_records_of_files_are_held_in_pieces(monkeypatch):
+    """However many files a batch has, no more of their records are alive than a piece holds."""
+    live, most = weakref.WeakSet(), []
+
+    class Blocks(list):
+        pass
+
+    def decode(name: str, content: bytes) -> dict:
+        blocks = Blocks([{"kind": "paragraph", "style": "", "text": f"{name} {len(content)}", "rows": None}])
+        live.add(Counted(blocks))
+        most.append(len(live))
+        return decoders.record("docx", blocks=blocks)
+
+    class Counted:
+        def __init__(self, blocks: Blocks):
+            blocks.own = self
+
+        __hash__ = object.__hash__
+
+    monkeypatch.setattr(decoders, "RECORDS", 16)
+    monkeypatch.setattr(decoders, "FILE_BYTES", 100)
+    sizes = [1] * 200 + [60, 60, 60] + [500] * 3 + [0] * 40
+    pieces = list(decoders.decoded_pieces(((f"f{i}", b"x" * n) for i, n in enumerate(sizes)), decode))
+    assert [b[0]["text"] for p in pieces for b in p.field("blocks").to_pylist()] == [f"f{i} {n}" for i, n in enumerate(sizes)]
+    assert max(map(len, pieces)) == 16 and max(most) <= 17
+    assert [len(p) for p in decoders.decoded_pieces([], decode)] == [0]
+
+
 def test_cells_of_a_table_are_cleaned_once(spark):
     rows = spark.createDataFrame([([["a|b", None], ["c\nd"], None],), ([["", " "], ["x"]],), ([],), (None,)], "rows array<array<string>>")
     found = rows.select(tables.markdown_table(F.col("rows")).alias("md"))
